@@ -33,7 +33,7 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 SUBSTRING_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS i, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS i, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT r, i, unnest(range(1, len(w) - 18)) AS p, w FROM d WHERE len(w) >= 20),
 k AS (SELECT r, i, p, md5_number(array_to_string(w[p:p + 19], ' ')) AS k FROM s),
 o AS (SELECT k, min((i, p)) AS o FROM k GROUP BY k HAVING count(*) > 1),
@@ -41,7 +41,7 @@ hit AS (SELECT r, p FROM k JOIN o USING (k) WHERE (i, p) > o),
 gone AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS q FROM hit),
 g AS (SELECT r, list(q) AS q, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
-       sha256(CASE WHEN q IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(q, x)), x -> w[x]), ' ') END) AS kept_sha256
+       sha256(CASE WHEN q IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(q, x)), lambda x: w[x]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN g USING (r)
 """
 

@@ -1,8 +1,4 @@
-import pytest
-from pyspark.sql import SparkSession
+import sys
+from pathlib import Path
 
-
-@pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
-    yield s
+sys.path.insert(0, str(Path(__file__).parent))
