@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import WORDS, Workspace, documents, row_key, spread, table, word_ids
-from .suffix_dedup import BLOCK, removed
+from .suffix_dedup import BLOCK, copies, removed
 
 WIDTH = 20
 GRAM = 6
@@ -45,7 +45,7 @@ def _blocks(width: int, gram: int):
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             symbols = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             q, a, d, f, c = anchors.blocks(symbols, lengths, hashes, width, gram)
-            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[q], "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32)})
+            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[q], "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32), "copies": copies(a, d)})
 
     return run
 

@@ -2,7 +2,7 @@
 
 1.  Each document is cut into blocks of window starts under minimizer anchors (``anchors``),
     so two equal 200-byte strings always lie under one anchor hash.
-2.  Blocks are counted by (anchor, digest).  A block that occurs twice is repeated as a whole;
+2.  Blocks are counted by (anchor, digest), first within batches.  A block that occurs twice is repeated as a whole;
     a block whose anchor has other contents too goes, once, to the shard of its anchor.
 3.  Each shard is sorted by external induced sorting (``induced_sort``); the common-prefix
     values say which starts are repeated.
@@ -34,7 +34,7 @@ GRAM = 96
 SORT_MEMORY = 8 << 20
 
 _BYTE_HASHES = anchors.mix(np.arange(1, 257, dtype=np.uint64))
-BLOCK = "doc_id long, kk long, anchor long, digest long, first int, starts int"
+BLOCK = "doc_id long, kk long, anchor long, digest long, first int, starts int, copies int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -44,11 +44,23 @@ def _blocks(width: int, gram: int):
             texts = [t.encode() for t in b.text]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             q, a, d, f, c = anchors.blocks(np.frombuffer(b"".join(texts), np.uint8), lengths, _BYTE_HASHES, width, gram)
-            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[q], "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32)})
+            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[q], "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32), "copies": copies(a, d)})
 
     return run
 
 
+def copies(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """How often each block occurs in the batch, at its first row; 0 at the others."""
+    if not len(anchor):
+        return np.zeros(0, np.int32)
+    order = np.lexsort((digest, anchor))
+    a, d = anchor[order], digest[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
+    out = np.zeros(len(anchor), np.int32)
+    out[order[head]] = np.append(head[1:], len(a)) - head
+    return out
+
+
 def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +136,9 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory
     keyed = documents(docs).withColumn("kk", row_key(F.col("text")))
     cuts = keyed.where(F.octet_length("text") >= width)
     blocks = ws.keep(cuts.mapInPandas(_blocks(width, gram), BLOCK), "blocks")
-    groups = blocks.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "kk", "first", "starts")).alias("rep"))
+    # copies within a batch are one row by now; one exchange by anchor serves both counts and the join
+    dealt = blocks.where("copies > 0").repartition("anchor")
+    groups = dealt.groupBy("anchor", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "kk", "first", "starts")).alias("rep"))
     contents = groups.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("copies").alias("all")).where("all > 1").drop("all")
     live = ws.keep(groups.join(contents, "anchor"), "live")
     ws.drop()
