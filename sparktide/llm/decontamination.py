@@ -56,7 +56,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, cont
     sketch = sized.select("item_id", "sh", F.slice(F.array_sort(F.transform(hashed, lambda x: x["h"])), F.lit(1), F.col("n_item") - F.col("need") + 1).alias("low"))
     wanted = ws.keep(sketch.select(F.explode("low").alias("h")).distinct(), "sketch")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words(F.col("text")))).alias("w"))
     seen = texts.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("w"), shingle))).alias("h"))
     hits = seen.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
     # hot sketch hashes meet a few items each; (doc, item) pairs are made distinct before texts come in
@@ -64,7 +64,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, cont
     pairs = hits.join(F.broadcast(members) if few else members, "h").select("doc_id", "item_id", "set").distinct()
     candidates = ws.keep(pairs.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "set")).alias("c")), "candidates")
     both = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(candidates, F.col("id").eqNullSafe(F.col("doc_id")))
-    held = both.select("doc_id", F.array_distinct(shingle_texts(words(F.col("text")), shingle)).alias("held"), F.explode("c").alias("c"))
+    # words are a generated column: an expression inside the lambdas would be split again for each shingle
+    cut = both.select("doc_id", "c", F.explode(F.array(words(F.col("text")))).alias("w"))
+    sets = cut.select("doc_id", "c", F.explode(F.array(F.array_distinct(shingle_texts(F.col("w"), shingle)))).alias("held"))
+    held = sets.select("doc_id", "held", F.explode("c").alias("c"))
     facts = sized.withColumn("set", F.xxhash64("sh")).withColumnRenamed("item_id", "item")
     checked = held.join(F.broadcast(facts) if few else facts, F.col("c.item_id").eqNullSafe(F.col("item")) & (F.col("c.set") == F.col("set")))
     shared = checked.select("doc_id", F.col("item").alias("item_id"), "n_item", "need", "size_class", F.size(F.array_intersect("sh", "held")).alias("n_shared"))
