@@ -1,4 +1,4 @@
-"""Seconds of the headline queries, the median of three warm runs; prints one JSON line."""
+"""Seconds of the headline queries, the median of two warm runs; prints one JSON line."""
 
 import json
 import os
@@ -21,7 +21,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(4):
+        for _ in range(3):
             start = time.time()
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - start)
