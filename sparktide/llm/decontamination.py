@@ -39,7 +39,7 @@ def shingle_texts(w: Column, k: int) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """Pairs (doc_id, item_id, n_item, n_shared, containment, size_class) at ``containment`` or more.
+    """Pairs (doc_id, item_id, n_item, n_shared, containment) at ``containment`` or more.
 
     Shingles are of lower-cased letters and digits, each counted once.  Items or documents of
     fewer than ``shingle`` words, or with a null text, match nothing; null and repeated ids:
@@ -54,13 +54,14 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, cont
     sized = ws.keep(sized.withColumn("need", F.ceil(F.round(F.col("n_item") * containment, 6)).cast("int")), "items")
     hashed = F.transform("sh", lambda s: F.struct(F.xxhash64(*[F.get(F.split(s, " "), F.lit(j)) for j in range(shingle)]).alias("h"), s.alias("s")))
     sketch = sized.select("item_id", "sh", F.slice(F.array_sort(F.transform(hashed, lambda x: x["h"])), F.lit(1), F.col("n_item") - F.col("need") + 1).alias("low"))
-    wanted = ws.keep(sketch.select(F.explode("low").alias("h")).distinct(), "sketch")
-    few = wanted.count() <= BROADCAST_ROWS
+    members = ws.keep(sketch.select("item_id", F.xxhash64("sh").alias("set"), F.explode("low").alias("h")), "sketch")
+    wanted = members.select("h").distinct()
+    # a fifth or more of all shingles of the items are in the sketches, so their count bounds all that is broadcast
+    few = members.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words(F.col("text")))).alias("w"))
     seen = texts.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("w"), shingle))).alias("h"))
     hits = seen.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
     # hot sketch hashes meet a few items each; (doc, item) pairs are made distinct before texts come in
-    members = sketch.select("item_id", F.xxhash64("sh").alias("set"), F.explode("low").alias("h"))
     pairs = hits.join(F.broadcast(members) if few else members, "h").select("doc_id", "item_id", "set").distinct()
     candidates = ws.keep(pairs.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "set")).alias("c")), "candidates")
     both = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(candidates, F.col("id").eqNullSafe(F.col("doc_id")))
