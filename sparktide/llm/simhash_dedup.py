@@ -95,7 +95,8 @@ def _keys(bits: int, per_key: int, count: int, ratio: float | None):
                     row = np.repeat(row, 6)[take]
                 for up in (0,) if ratio is None else (0, 1):
                     full = (key | number << 12 * per_key) << 8 | (level[row] + up)
-                    yield pd.DataFrame({"key": full, "fp": b.fp.to_numpy()[row]})
+                    out = {"key": full, "fp": b.fp.to_numpy()[row]}
+                    yield pd.DataFrame(out | {"root": b.root.to_numpy()[row]} if "root" in b else out)
 
     return run
 
@@ -222,15 +223,18 @@ def stars(ws: Workspace, edges: DataFrame) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(docs: DataFrame, shingle: int, bits: int, radius: int, per_key: int, count: int, ratio: float | None = None, bucket: int | None = None, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, shingle: int, bits: int, radius: int, per_key: int, count: int, bucket: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, size) of every row, and (fp, component_id) of every distinct fingerprint."""
     ws = Workspace(docs.sparkSession, "simhash")
-    prints = ws.keep(documents(docs).mapInPandas(_prints(shingle, bits, distinct), "doc_id long, fp binary, size long"), "prints")
+    prints = ws.keep(documents(docs).mapInPandas(_prints(shingle, bits, False), "doc_id long, fp binary, size long"), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
-    roots = stars(ws, links(ws, classes.select("fp", "size"), bits, radius, per_key, count, ratio, bucket))
+    return prints, _named(classes, stars(ws, links(ws, classes.select("fp", "size"), bits, radius, per_key, count, None, bucket)))
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints, named.join(lows, "root").select("fp", "component_id")
+    return named.join(lows, "root").select("fp", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -244,19 +248,135 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The stage of the pipeline: five-word shingles at a similarity of 0.8, which is 38 of 256 bits on average.
-STAGE = {"shingle": 5, "bits": 256, "radius": 46, "per_key": 1, "count": 6, "ratio": 1.25, "distinct": True}
+#: Near-duplicates have this share, in hundredths, of their five-word shingles in common.
+SIMILARITY, WORDS_PER_SHINGLE = 80, 5
+#: 256-bit fingerprints of texts at that similarity differ in 39 bits on average, and seldom in over 64.
+NEAR_BITS, NEAR_RADIUS, SEGMENTS = 256, 64, 11
+#: Neighbours that each fingerprint proposes first; the rest is compared where these left groups apart.
+NEAREST = 4
+
+
+def _sets(shingle: int, bits: int):
+    """Fingerprints and the hashes of the distinct shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            every = [sorted(set(shingles(WORDS.findall(t.encode().lower()), shingle))) for t in b.text]
+            grams = [np.array([xxhash.xxh64_intdigest(g) for g in x], np.uint64).view(np.int64) for x in every]
+            yield pd.DataFrame({"fp": [fingerprint(x, bits) for x in every], "grams": grams})
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch], width: int):
+    """Rows sorted by key, as arrays that hold whole buckets."""
+    keys, raw, roots = np.zeros(0, np.int64), np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+    for b in batches:
+        keys = np.concatenate([keys, b.column("key").to_numpy()])
+        raw = np.concatenate([raw, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, width)])
+        roots = np.concatenate([roots, b.column("root").to_numpy()])
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield keys[:cut], raw[:cut], roots[:cut]
+            keys, raw, roots = keys[cut:], raw[cut:], roots[cut:]
+    if len(keys):
+        yield keys, raw, roots
+
+
+def close(words: np.ndarray, roots: np.ndarray, radius: int, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within ``radius`` and of different roots; of each row the ``nearest`` ones where that is given."""
+    step = max(1, (1 << 20) // len(words))
+    for k in range(0, len(words), step):
+        d = _distances(words[k : k + step], words)
+        i, j = np.nonzero((d <= radius) & (roots[k : k + step, None] != roots))
+        if nearest is None:
+            i, j = i[j > i + k], j[j > i + k]
+        elif len(i):
+            order = np.lexsort((d[i, j], i))
+            i, j = i[order], j[order]
+            take = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+            i, j = i[take], j[take]
+        yield i + k, j
+
+
+def _near(bits: int, radius: int, nearest: int | None):
+    """Candidate pairs (a < b) of the buckets; those of at most eight rows give all their pairs."""
+    width = bits // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+
+        def emit(raw: np.ndarray, i: np.ndarray, j: np.ndarray):
+            got = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, raw[i]), map(bytes, raw[j]), strict=True)} - seen
+            if len(seen) < 1 << 17:
+                seen.update(got)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+        for keys, raw, roots in _whole(batches, width):
+            words = raw.view(">u8").astype(np.uint64)
+            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(head, len(keys)))
+            small = np.repeat(size, size) <= 8
+            for shift in range(1, min(8, len(keys))):
+                i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (roots[shift:] != roots[:-shift]))
+                i = i[np.bitwise_count(words[i] ^ words[i + shift]).sum(axis=1) <= radius]
+                yield from emit(raw, i, i + shift)
+            for h, n in zip(head[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+                for i, j in close(words[h : h + n], roots[h : h + n], radius, nearest):
+                    yield from emit(raw, i + h, j + h)
+
+    return run
+
+
+def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, size) of every row, and (fp, component_id) of every distinct fingerprint.
+
+    Fingerprints meet in the buckets of their segments' codewords, within size classes, and
+    the shared shingles of each candidate pair are counted.  First each fingerprint proposes
+    its nearest neighbours of each bucket, which joins large groups by few pairs; then the
+    remaining pairs between different groups are compared.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "near")
+    prints = ws.keep(documents(docs).mapInPandas(_prints(WORDS_PER_SHINGLE, NEAR_BITS, True), "doc_id long, fp binary, size long"), "prints")
+    classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
+
+    def meet(rows: DataFrame, nearest: int | None) -> DataFrame:
+        keyed = rows.mapInPandas(_keys(NEAR_BITS, 1, SEGMENTS, 100 / SIMILARITY), "key long, fp binary, root long")
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary").distinct()
+
+    first = ws.keep(meet(classes.select("fp", "size", F.xxhash64("fp").alias("root")), NEAREST), "first")
+    nodes = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    members = ws.keep(classes.join(nodes, "fp"), "members")
+    plain, lows = documents(docs), members.select("low").distinct()
+    sets = plain.join(lows, plain.doc_id.eqNullSafe(lows.low), "left_semi").mapInPandas(_sets(WORDS_PER_SHINGLE, NEAR_BITS), "fp binary, grams array<long>")
+    # other texts of the same doc_id have other fingerprints
+    sets = ws.keep(sets.join(members.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
+        both, every = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+        return pairs.join(one, "a").join(two, "b").where(both * 100 >= (every - both) * SIMILARITY).select("a", "b")
+
+    linked = ws.keep(alike(first), "linked")
+    roots = stars(Workspace(spark, "near"), linked)
+    grouped = members.join(roots, members.fp == roots.node, "left").select("fp", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root"))
+    second = ws.keep(meet(grouped, None).join(first, ["a", "b"], "left_anti"), "second")
+    every = ws.keep(linked.unionByName(alike(second)), "every")
+    return prints, _named(classes, stars(Workspace(spark, "near"), every))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are the first of their group of near-duplicates.
 
-    Documents are near-duplicates if their sets of five-word shingles (of lower-cased words;
-    fewer words: all of them) are alike at about 0.8 or more, as 256-bit fingerprints tell.
+    Documents are near-duplicates if they share 80 of 100 or more of their distinct five-word
+    shingles (of words with A-Z in lower case; fewer words: all of them), or are linked by
+    such pairs.  Fingerprints find the pairs, the shingles decide.
     The least doc_id of a group stays, and of rows that repeat it the one with the least text
     (one row of equal ones); rows with a null doc_id stay if nothing of their group has a doc_id, one of each text.
     """
-    prints, groups = components(docs, **STAGE)
+    prints, groups = near_groups(docs)
     keep = prints.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
     return kept.dropDuplicates()
