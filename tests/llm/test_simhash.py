@@ -5,7 +5,7 @@ import xxhash
 from corpus import corpus, frame, same
 
 from sparktide.llm import golay, simhash_dedup
-from sparktide.llm.simhash_dedup import _distances, components, forest, near_dedup, simhash_components
+from sparktide.llm.simhash_dedup import _distances, forest, near_dedup, simhash_components
 
 
 def print_of(text):
@@ -86,10 +86,41 @@ def test_near_dedup_keeps_one(spark):
     assert kept == {*range(30), 900, None}
 
 
+def test_near_dedup_against_brute_force(spark):
+    """Pairs on both sides of a similarity of 0.8, some of exactly 0.8, and short texts."""
+    rng = np.random.default_rng(11)
+    rows, sets = [], []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.choice([40, 94, 200])))]
+        for c in range(4):
+            edited = list(words)
+            for e in range(int(rng.integers(0, 1 + len(words) // 40)) if c else 0):
+                edited[int(rng.integers(0, len(words)))] = f"e{k}x{c}x{e}"
+            rows.append((4 * k + c, " ".join(edited)))
+        # 90 shingles of 94 words; 72 of them and no others are a share of 0.8
+        rows.append((1000 + k, " ".join(words[: len(words) - 18])))
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old = label[i]
+                label = [label[j] if x == old else x for x in label]
+    expected = {min(d for (d, _), y in zip(rows, label, strict=True) if y == x) for x in set(label)}
+    assert {r.doc_id for r in near_dedup(frame(spark, rows)).collect()} == expected
+
+
+def test_near_dedup_large_group_of_near_copies(spark):
+    """A chain of texts in which only neighbours are alike is one group."""
+    words = [f"w{x}" for x in range(700)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(150)]
+    assert [r.doc_id for r in near_dedup(frame(spark, rows)).collect()] == [0]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(none).count() == 0
     assert near_dedup(none).count() == 0
 
-
-__all__ = ["components"]
