@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -575,6 +576,19 @@ def dwt_round_trip(spark, d):
     return rounded(N.apply(daily(spark, d), both, "value", ["event_type"]), "value", n=6)
 
 
+@query(f"WITH {EV} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS time, round(value, 6) AS value FROM ev")
+def dwt_round_trip_events(spark, d):
+    """Whole series of any length: the last value is repeated up to a power of two."""
+
+    def both(t, v):
+        padded = np.pad(v, (0, (1 << (len(v) - 1).bit_length()) - len(v)), "edge") if len(v) else v
+        if len(padded) < 2:
+            return range(len(v)), v
+        return range(len(v)), N.idwt(t, N.dwt(t, padded, "db4", layer=2)[1], "db4", layer=2)[1][: len(v)]
+
+    return rounded(N.apply(events(spark, d), both, "value", U), "value", n=6)
+
+
 @query(f"WITH {EV}, {DAILY} SELECT event_type, time, round(value, 6) AS value FROM daily")
 def fft_round_trip(spark, d):
     def both(t, v):
@@ -597,6 +611,9 @@ for _name, _f, _p in (
     ("lowpass", N.lowpass, {}), ("highpass", N.highpass, {}), ("fft_abs", N.fft, {}), ("swing_door", N.swing_door, {"deviation": 5.0}),
 ):
     _numeric(_name, _f, **_p)
+    # the same over every event of each user: many series, of unlike lengths and with uneven steps
+    _numeric(f"{_name}_events", _f, by=("user_id",), source=events, **_p)
+_numeric("acf_events", N.acf, by=("user_id",), source=events)
 _numeric("outlier", N.outlier, by=("user_id",), source=events, k=3, r=5.0, w=20, s=10)
 
 
