@@ -360,6 +360,8 @@ def ptnsym(t, v, window=10, threshold=math.inf):
 
 def timestamp_repair(t, v, interval=0, method="median"):
     """Times on a regular grid near the given ones; steps without a point get a line's value."""
+    if method.lower() not in ("median", "mode"):
+        raise ValueError(f"no such method of repair: {method}")
     if len(t) < 2:
         return t, v
     step = np.diff(t)

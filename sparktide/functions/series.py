@@ -251,6 +251,8 @@ def resample(df: DataFrame, value: str, every, start: int, end: int, by: list[st
 
 def value_fill(df: DataFrame, value: str, by: list[str], time: str = "time", method: str = "linear") -> DataFrame:
     """NaN replaced: by the value before, the mean, or a line over row numbers (the last value after the end)."""
+    if method not in ("linear", "mean", "previous"):
+        raise ValueError(f"no such method of filling: {method}")
     w = _w(by, time)
     rows = df.withColumn("__i", F.row_number().over(w)).withColumn("__v", F.when(~F.isnan(value), F.col(value)))
     if method == "mean":
