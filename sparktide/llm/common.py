@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -22,13 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set to a local one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir; one of this machine only where all tasks run in the driver."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        folder = spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(LOCAL_CHECKPOINTS)
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -64,6 +69,23 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` with whole numbers: integers beside nulls don't pass through floats."""
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            nulls = any(c.null_count and pa.types.is_integer(c.type) for c in b.columns)
+            yield b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get if nulls else None)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(go, struct)
+
+
 def row_key(text: Column) -> Column:
     """Tells rows of one doc_id apart; with doc_id it names a document inside an operator."""
     return F.xxhash64(F.lit(7), text)
