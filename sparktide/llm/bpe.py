@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, map_frames, table
 
 #: Pieces that GPT-2-style vocabularies never merge across (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,36 +222,37 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _codes(path: str):
+def _codes(path: str, decoded: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for b in batches:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 ids = v.encode(part.text.tolist())
-                yield pd.DataFrame({"doc_id": part.doc_id, "ids": ids, "decoded": [v.decode(x) for x in ids]})
+                out = {"doc_id": part.doc_id.array, "ids": ids}
+                yield pd.DataFrame(out | {"decoded": [v.decode(x) for x in ids]} if decoded else out)
 
     return run
 
 
 def _digests(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _codes(path)(batches):
-            yield pd.DataFrame({"doc_id": part.doc_id, "n_tokens": [len(x) // 4 for x in part.ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in part.ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in part.decoded]})
+        for part in _codes(path, True)(batches):
+            yield pd.DataFrame({"doc_id": part.doc_id.array, "n_tokens": [len(x) // 4 for x in part.ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in part.ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in part.decoded]})
 
     return run
 
 
-def bpe_codes(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit integers, joined) and the text decoded from them.
+def bpe_codes(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit integers, joined) and, if asked for, the text decoded from them.
 
     ``path`` is the vocabulary file, readable on every executor.  A null text is empty and has
     no ids; the text of an added token is that token; rows stay as often as they occur; other
     columns are ignored; an empty table gives no rows.
     """
-    return documents(docs).mapInPandas(_codes(path or vocabulary_path()), "doc_id long, ids binary, decoded string")
+    return map_frames(documents(docs), _codes(path or vocabulary_path(), decoded), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ``bpe_codes``, taken where the codes are made."""
-    return documents(table(spark, sf_dir, "documents")).mapInPandas(_digests(vocabulary_path()), RESULT)
+    return map_frames(documents(table(spark, sf_dir, "documents")), _digests(vocabulary_path()), RESULT)

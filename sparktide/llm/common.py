@@ -96,6 +96,19 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(df["doc_id"].cast("long").alias("doc_id"), F.coalesce(df["text"], F.lit("")).alias("text"))
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """``documents`` with ``kk``, which tells rows of one doc_id apart."""
+    return documents(df).withColumn("kk", row_key(F.col("text")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Ids(dict):
     """Word to id, in order of first sight."""
 

@@ -14,10 +14,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents, row_key, table
+from .common import Workspace, free_name, keyed, map_frames, row_key, table
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -146,8 +147,7 @@ def discover(ws: Workspace, scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scan of every row, and the discovered spans: (doc_id, kk, more array of start and end)."""
     ws = Workspace(docs.sparkSession, "pii")
-    keyed = documents(docs).withColumn("kk", row_key(F.col("text")))
-    scan = ws.keep(keyed.mapInPandas(_scan, SCAN), "scan")
+    scan = ws.keep(map_frames(keyed(docs), _scan, SCAN), "scan")
     pairs = discover(ws, scan)
     every = scan.select("doc_id", "kk", F.explode("found").alias("x")).select("doc_id", "kk", "x.*")
     more = every.join(pairs, ["context", "instance"], "left_semi").groupBy("doc_id", "kk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
@@ -170,43 +170,41 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"))
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts = []
-        for text, more in zip(b.text, b.more, strict=True):
-            if text is None:
-                texts.append(None)
-                continue
-            spans = base_spans(text) + [(4, x["start"], x["end"]) for x in (more if more is not None else [])]
-            out, last = [], 0
-            for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
-                if s >= last:
-                    out += [text[last:s], f"[{KINDS[k].upper()}]"]
-                last = max(last, e)
-            texts.append("".join([*out, text[last:]]))
-        yield b.drop(columns="more").assign(text=texts)
+def redacted(text: str, more: list[Span]) -> str:
+    out, last = [], 0
+    for k, s, e in sorted(base_spans(text) + more, key=lambda x: (x[1], -x[2])):
+        if s >= last:
+            out += [text[last:s], f"[{KINDS[k].upper()}]"]
+        last = max(last, e)
+    return "".join([*out, text[last:]])
+
+
+def _redact(more: str, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[(4, x["start"], x["end"]) for x in m or []] for m in b.column(more).to_pylist()]
+            texts = [None if t is None else redacted(t, m) for t, m in zip(b.column("text").to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
+
+    return run
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by [KIND]; all columns and rows stay, n_chars follows the text.
 
-    Overlapping spans become one, named after the first.
+    Overlapping spans become one, named after the first; a null text stays null; rows of one
+    doc_id and text are alike; other columns keep their values, whatever their names and types.
     """
-    _, more = spans_of(docs)
-    m = more.withColumnsRenamed({"doc_id": "__d", "kk": "__k"})
-    if more.count() <= BROADCAST_ROWS:
+    _, found = spans_of(docs)
+    doc, kk, more = (free_name(docs, x) for x in ("doc", "key", "more"))
+    m = found.withColumnsRenamed({"doc_id": doc, "kk": kk, "more": more})
+    if found.count() <= BROADCAST_ROWS:
         m = F.broadcast(m)
-    both = docs.join(m, docs.doc_id.cast("long").eqNullSafe(F.col("__d")) & (row_key(F.coalesce(docs.text, F.lit(""))) == F.col("__k")), "left")
-    slim = both.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"), docs["text"], "more")
-    kind = slim.schema["rest"].dataType.simpleString()
-    done = slim.mapInPandas(_redact, f"rest {kind}, text string")
-    columns = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
-    out = done.select(*columns)
+    both = docs.join(m, docs.doc_id.cast("long").eqNullSafe(F.col(doc)) & (row_key(F.coalesce(docs.text, F.lit(""))) == F.col(kk)), "left").drop(doc, kk)
+    out = both.mapInArrow(_redact(more, docs.columns), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
-
-

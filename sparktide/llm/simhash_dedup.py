@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, golay
-from .common import WORDS, Workspace, documents, table
+from .common import WORDS, Workspace, documents, free_name, keyed, map_frames, row_key, table
 
 SEED = 42
 BITS, SHINGLE, RADIUS = 64, 3, 3
@@ -30,6 +30,9 @@ BITS, SHINGLE, RADIUS = 64, 3, 3
 BUCKET = 20_000
 
 
+PRINT = "doc_id long, kk long, fp binary, size long"
+
+
 def shingles(words: list[bytes], k: int) -> list[bytes]:
     if len(words) <= k:
         return [b" ".join(words)] if words else []
@@ -60,7 +63,7 @@ def _prints(shingle: int, bits: int, distinct: bool):
                 grams = list(set(grams)) if distinct else grams
                 prints.append(fingerprint(grams, bits))
                 sizes.append(len(grams))
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": prints, "size": sizes})
+            yield pd.DataFrame({"doc_id": b.doc_id, "kk": b.kk, "fp": prints, "size": sizes})
 
     return run
 
@@ -77,7 +80,7 @@ def _keys(bits: int, per_key: int, count: int, ratio: float | None):
     """(key, fp) rows: one for each choice of ``per_key`` segments and of their codewords.
 
     ``ratio``: sizes of linked documents differ by this factor at most; the key then holds a
-    size class, and each document takes part in its own class and the next one.
+    size class, and each document takes part in its own class and the next one (``up`` is 1).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,6 +99,8 @@ def _keys(bits: int, per_key: int, count: int, ratio: float | None):
                 for up in (0,) if ratio is None else (0, 1):
                     full = (key | number << 12 * per_key) << 8 | (level[row] + up)
                     out = {"key": full, "fp": b.fp.to_numpy()[row]}
+                    if ratio is not None:
+                        out["up"] = np.full(len(row), up, np.int8)
                     yield pd.DataFrame(out | {c: b[c].to_numpy()[row] for c in ("root", "sketch") if c in b})
 
     return run
@@ -194,8 +199,8 @@ def _link(bits: int, radius: int, limit: int | None):
 
 def links(ws: Workspace, prints: DataFrame, bits: int, radius: int, per_key: int, count: int, ratio: float | None, bucket: int | None) -> DataFrame:
     """Links (a, b) between distinct fingerprints, spanning their components."""
-    keyed = prints.mapInPandas(_keys(bits, per_key, count, ratio), "key long, fp binary")
-    met = ws.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(bits, radius, bucket), LINK), "met")
+    dealt = prints.mapInPandas(_keys(bits, per_key, count, ratio), "key long, fp binary")
+    met = ws.keep(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(bits, radius, bucket), LINK), "met")
     found = met.where("b is not null").select("a", "b")
     if bucket:
         # at most three differing bits leave one of four quarters equal
@@ -206,9 +211,12 @@ def links(ws: Workspace, prints: DataFrame, bits: int, radius: int, per_key: int
 
 
 def stars(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes that have an edge; the root is the least node reachable."""
+    """(node, root) for all nodes that have an edge; the root is the least node reachable.
+
+    Runs until nothing changes, which alternating stars reach in a logarithm of the size.
+    """
     current, before = ws.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star"), None
-    for k in range(200):
+    for k in count():
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -219,14 +227,16 @@ def stars(ws: Workspace, edges: DataFrame) -> DataFrame:
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
+        if k:
+            ws.drop(f"star{k - 1}")
         before, current = state, after
     return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def components(docs: DataFrame, shingle: int, bits: int, radius: int, per_key: int, count: int, bucket: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp, size) of every row, and (fp, component_id) of every distinct fingerprint."""
+    """(doc_id, kk, fp, size) of every row, and (fp, component_id) of every distinct fingerprint."""
     ws = Workspace(docs.sparkSession, "simhash")
-    prints = ws.keep(documents(docs).mapInPandas(_prints(shingle, bits, False), "doc_id long, fp binary, size long"), "prints")
+    prints = ws.keep(map_frames(keyed(docs), _prints(shingle, bits, False), PRINT), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
     return prints, _named(classes, stars(ws, links(ws, classes.select("fp", "size"), bits, radius, per_key, count, None, bucket)))
 
@@ -283,28 +293,62 @@ def _sets(shingle: int, bits: int):
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch], width: int):
-    """Rows sorted by key, as arrays that hold whole buckets."""
-    keys, raw, roots, longs = np.zeros(0, np.int64), np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0, object)
+class Rows:
+    """Rows of whole buckets, in order of their keys."""
+
+    def __init__(self, keys: np.ndarray, raw: np.ndarray, roots: np.ndarray, up: np.ndarray, longs: np.ndarray):
+        self.keys, self.raw, self.roots, self.up, self.longs = keys, raw, roots, up, longs
+        self.words = raw.view(">u8").astype(np.uint64)
+
+    def __getitem__(self, at) -> "Rows":
+        return Rows(self.keys[at], self.raw[at], self.roots[at], self.up[at], self.longs[at])
+
+    def __add__(self, more: "Rows") -> "Rows":
+        return Rows(*(np.concatenate(x) for x in zip((self.keys, self.raw, self.roots, self.up, self.longs), (more.keys, more.raw, more.roots, more.up, more.longs), strict=True)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Rows]:
+    """Rows sorted by key, in parts that hold whole buckets."""
+    held = None
     for b in batches:
-        keys = np.concatenate([keys, b.column("key").to_numpy()])
-        raw = np.concatenate([raw, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, width)])
-        roots = np.concatenate([roots, b.column("root").to_numpy()])
-        longs = np.concatenate([longs, np.array(b.column("sketch").to_pylist(), object) if "sketch" in b.schema.names else np.full(len(b), None)])
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, width)
+        longs = np.array(b.column("sketch").to_pylist(), object) if "sketch" in b.schema.names else np.full(len(b), None)
+        rows = Rows(b.column("key").to_numpy(), raw, b.column("root").to_numpy(), b.column("up").to_numpy(), longs)
+        held = rows if held is None else held + rows
+        cut = int(np.searchsorted(held.keys, held.keys[-1])) if len(held.keys) else 0
         if cut:
-            yield keys[:cut], raw[:cut], roots[:cut], longs[:cut]
-            keys, raw, roots, longs = keys[cut:], raw[cut:], roots[cut:], longs[cut:]
-    if len(keys):
-        yield keys, raw, roots, longs
+            yield held[:cut]
+            held = held[cut:]
+    if held is not None and len(held.keys):
+        yield held
 
 
-def close(words: np.ndarray, roots: np.ndarray, radius: int, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within ``radius`` and of different roots; of each row the ``nearest`` ones where that is given."""
+def met_here(rows: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bucket of the pairs (i, j) is the first one that they share, in order of segments and codewords.
+
+    Only that bucket proposes the pair, so all buckets of all tasks together propose it once.
+    Of two size classes that a pair shares, the bucket of the upper one passes it over (``up``).
+    """
+    number, index = rows.keys[i] >> 20, rows.keys[i] >> 8 & 0xFFF
+    first = np.ones(len(i), bool)
+    parts = [segments(rows.raw[x], rows.raw.shape[1] * 8) for x in (i, j)]
+    for s in range(int(number.max(initial=-1)) + 1):
+        at = np.flatnonzero(first & (number >= s))
+        (one, n_one), (two, n_two) = golay.keys(parts[0][s][at]), golay.keys(parts[1][s][at])
+        six = np.arange(6)
+        shared = (one[:, :, None] == two[:, None, :]) & (six[:, None] < n_one[:, None, None]) & (six < n_two[:, None, None])
+        least = np.where(shared.any(axis=2), one, 1 << 12).min(axis=1)
+        first[at] = np.where(number[at] == s, least == index[at], least == 1 << 12)
+    return first
+
+
+def close(rows: Rows, radius: int, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket within ``radius`` and of different roots; of each row the ``nearest`` ones where that is given."""
+    words, roots, up = rows.words, rows.roots, rows.up > 0
     step = max(1, (1 << 20) // len(words))
     for k in range(0, len(words), step):
         d = _distances(words[k : k + step], words)
-        i, j = np.nonzero((d <= radius) & (roots[k : k + step, None] != roots))
+        i, j = np.nonzero((d <= radius) & (roots[k : k + step, None] != roots) & ~(up[k : k + step, None] & up))
         if nearest is None:
             i, j = i[j > i + k], j[j > i + k]
         elif len(i):
@@ -322,55 +366,60 @@ def _near(bits: int, radius: int, nearest: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
 
-        def emit(raw: np.ndarray, i: np.ndarray, j: np.ndarray):
-            got = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, raw[i]), map(bytes, raw[j]), strict=True)} - seen
-            if len(seen) < 1 << 17:
+        def emit(rows: Rows, i: np.ndarray, j: np.ndarray):
+            if nearest is None:
+                take = met_here(rows, i, j)
+                i, j = i[take], j[take]
+            got = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, rows.raw[i]), map(bytes, rows.raw[j]), strict=True)} - seen
+            if nearest is not None and len(seen) < 1 << 17:
                 seen.update(got)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], names=["a", "b"])
 
-        for keys, raw, roots, longs in _whole(batches, width):
-            words = raw.view(">u8").astype(np.uint64)
+        for rows in _whole(batches, width):
+            keys, words, roots = rows.keys, rows.words, rows.roots
             head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(head, len(keys)))
             small = np.repeat(size, size) <= 8
             for shift in range(1, min(8, len(keys))):
-                i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (roots[shift:] != roots[:-shift]))
+                i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (roots[shift:] != roots[:-shift]) & (rows.up[shift:] + rows.up[:-shift] < 2))
                 i = i[np.bitwise_count(words[i] ^ words[i + shift]).sum(axis=1) <= radius]
-                yield from emit(raw, i, i + shift)
+                yield from emit(rows, i, i + shift)
             for h, n in zip(head[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+                one = rows[h : h + n]
                 if nearest is None:
-                    known = np.array([x is not None for x in longs[h : h + n]])
-                    bits = np.frombuffer(b"".join(x or bytes(LONG_BITS // 8) for x in longs[h : h + n]), np.uint64).reshape(n, -1)
-                for i, j in close(words[h : h + n], roots[h : h + n], radius, nearest):
+                    known = np.array([x is not None for x in one.longs])
+                    sketches = np.frombuffer(b"".join(x or bytes(LONG_BITS // 8) for x in one.longs), np.uint64).reshape(n, -1)
+                for i, j in close(one, radius, nearest):
                     # the longer sketch tells most pairs of one family of texts apart
                     for at in range(0, len(i), 1 << 15) if nearest is None else ():
                         x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                        take = ~(known[x] & known[y]) | (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS)
-                        yield from emit(raw, x[take] + h, y[take] + h)
+                        take = ~(known[x] & known[y]) | (np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS)
+                        yield from emit(one, x[take], y[take])
                     if nearest is not None:
-                        yield from emit(raw, i + h, j + h)
+                        yield from emit(one, i, j)
 
     return run
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp, size) of every row, and (fp, component_id) of every distinct fingerprint.
+    """(doc_id, kk, fp, size) of every row, and (fp, component_id) of every distinct fingerprint.
 
     Fingerprints meet in the buckets of their segments' codewords, within size classes, and
     the shared shingles of each candidate pair are counted.  First each fingerprint proposes
     its nearest neighbours of each bucket, which joins large groups by few pairs; then the
-    remaining pairs between different groups are compared.
+    remaining pairs between different groups are compared, each in one bucket (``met_here``).
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
-    prints = ws.keep(documents(docs).mapInPandas(_prints(WORDS_PER_SHINGLE, NEAR_BITS, True), "doc_id long, fp binary, size long"), "prints")
+    prints = ws.keep(map_frames(keyed(docs), _prints(WORDS_PER_SHINGLE, NEAR_BITS, True), PRINT), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
 
     def meet(rows: DataFrame, nearest: int | None) -> DataFrame:
         more = "" if nearest else ", sketch binary"
-        keyed = rows.mapInPandas(_keys(NEAR_BITS, 1, SEGMENTS, 100 / SIMILARITY), "key long, fp binary, root long" + more)
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary").distinct()
+        dealt = rows.mapInPandas(_keys(NEAR_BITS, 1, SEGMENTS, 100 / SIMILARITY), "key long, fp binary, up byte, root long" + more)
+        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary")
+        return pairs.distinct() if nearest else pairs
 
     first = ws.keep(meet(classes.select("fp", "size", F.xxhash64("fp").alias("root")), NEAREST), "first")
     nodes = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -400,13 +449,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Documents are near-duplicates if they share 80 of 100 or more of their distinct five-word
     shingles (of words with A-Z in lower case; fewer words: all of them), or are linked by
     such pairs.  Fingerprints find the pairs, the shingles decide.
-    The least doc_id of a group stays, and of rows that repeat it the one with the least text
-    (one row of equal ones); rows with a null doc_id stay if nothing of their group has a doc_id, one of each text.
+    The least doc_id of a group stays: one row, if several have it.  A null or empty text is
+    like any other without shingles.  Rows with a null doc_id stay if nothing of their group has
+    a doc_id, one of each text.  All columns stay, of any type; an empty table gives no rows.
     """
     prints, groups = near_groups(docs)
-    keep = prints.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    return kept.dropDuplicates()
+    ws = Workspace(docs.sparkSession, "near")
+    first = prints.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "kk").agg(F.count("*").alias("rows"))
+    keep = first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("kk")).alias("one")).agg(F.min(F.struct("kk", "rows")).alias("x"))
+    doc, kk, rows = (free_name(docs, x) for x in ("doc", "key", "rows"))
+    keep = ws.keep(keep.select(F.col("doc_id").alias(doc), F.col("x.kk").alias(kk), F.col("x.rows").alias(rows)), "keep")
+    kept = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(F.col(doc)) & (row_key(F.coalesce(docs.text, F.lit(""))) == F.col(kk)))
+    if not keep.where(F.col(rows) > 1).isEmpty():
+        kept = kept.where(F.col(rows) == 1).unionByName(kept.where(F.col(rows) > 1).dropDuplicates([doc, kk]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,5 +105,5 @@ def test_ordinal_thresholds_ascend_and_weights_are_shared():
     rows, labels = labelled(200, 1)
     model = toxicity.fit([t for _, t in rows], [t for _, _, t in labels])
     assert (np.diff(model.thresholds) >= 0).all()
-    above = model.above("grumblesnark vilefoul grumblesnark")
+    above = model.above(model.evidence("grumblesnark vilefoul grumblesnark"))
     assert (np.diff(above) <= 0).all() and above[0] > 0.5
