@@ -330,14 +330,19 @@ def met_here(rows: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     Of two size classes that a pair shares, the bucket of the upper one passes it over (``up``).
     """
     number, index = rows.keys[i] >> 20, rows.keys[i] >> 8 & 0xFFF
-    first = np.ones(len(i), bool)
-    parts = [segments(rows.raw[x], rows.raw.shape[1] * 8) for x in (i, j)]
+    members, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    one, two = place[: len(i)], place[len(i) :]
+    first, parts = np.ones(len(i), bool), segments(rows.raw[members], rows.raw.shape[1] * 8)
     for s in range(int(number.max(initial=-1)) + 1):
         at = np.flatnonzero(first & (number >= s))
-        (one, n_one), (two, n_two) = golay.keys(parts[0][s][at]), golay.keys(parts[1][s][at])
-        six = np.arange(6)
-        shared = (one[:, :, None] == two[:, None, :]) & (six[:, None] < n_one[:, None, None]) & (six < n_two[:, None, None])
-        least = np.where(shared.any(axis=2), one, 1 << 12).min(axis=1)
+        found, many = golay.keys(parts[s])
+        # absent codewords differ from all others
+        mine, other = (np.where(np.arange(6) < many[:, None], found, absent) for absent in (-1, -2))
+        least = np.full(len(at), 1 << 12)
+        left, right = mine[one[at]], other[two[at]]
+        for k in range(6):
+            shared = (left[:, k, None] == right).any(axis=1)
+            least = np.where(shared, np.minimum(least, left[:, k]), least)
         first[at] = np.where(number[at] == s, least == index[at], least == 1 << 12)
     return first
 
@@ -359,45 +364,54 @@ def close(rows: Rows, radius: int, nearest: int | None) -> Iterator[tuple[np.nda
         yield i + k, j
 
 
+def _pairs(rows: Rows, radius: int, nearest: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet in a bucket; buckets of at most eight rows give all their pairs."""
+    keys, words, roots = rows.keys, rows.words, rows.roots
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(head, len(keys)))
+    small = np.repeat(size, size) <= 8
+    for shift in range(1, min(8, len(keys))):
+        i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (roots[shift:] != roots[:-shift]) & (rows.up[shift:] + rows.up[:-shift] < 2))
+        i = i[np.bitwise_count(words[i] ^ words[i + shift]).sum(axis=1) <= radius]
+        yield i, i + shift
+    for h, n in zip(head[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+        one = rows[h : h + n]
+        if nearest is None:
+            known = np.array([x is not None for x in one.longs])
+            sketches = np.frombuffer(b"".join(x or bytes(LONG_BITS // 8) for x in one.longs), np.uint64).reshape(n, -1)
+        for i, j in close(one, radius, nearest):
+            if nearest is not None:
+                yield i + h, j + h
+                continue
+            # the longer sketch tells most pairs of one family of texts apart
+            for at in range(0, len(i), 1 << 15):
+                x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                take = ~(known[x] & known[y]) | (np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS)
+                yield x[take] + h, y[take] + h
+
+
 def _near(bits: int, radius: int, nearest: int | None):
-    """Candidate pairs (a < b) of the buckets; those of at most eight rows give all their pairs."""
+    """Candidate pairs (a < b) of the buckets."""
     width = bits // 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-
-        def emit(rows: Rows, i: np.ndarray, j: np.ndarray):
-            if nearest is None:
-                take = met_here(rows, i, j)
-                i, j = i[take], j[take]
-            got = {(min(x, y), max(x, y)) for x, y in zip(map(bytes, rows.raw[i]), map(bytes, rows.raw[j]), strict=True)} - seen
-            if nearest is not None and len(seen) < 1 << 17:
-                seen.update(got)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], names=["a", "b"])
+    def emit(rows: Rows, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        i, j = (np.concatenate([x[side] for x in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
+        i, j = np.divmod(np.unique(np.minimum(i, j) * len(rows.keys) + np.maximum(i, j)), len(rows.keys))
+        take = met_here(rows, i, j)
+        got = [(min(x, y), max(x, y)) for x, y in zip(map(bytes, rows.raw[i[take]]), map(bytes, rows.raw[j[take]]), strict=True)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*got, strict=True)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, width):
-            keys, words, roots = rows.keys, rows.words, rows.roots
-            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            size = np.diff(np.append(head, len(keys)))
-            small = np.repeat(size, size) <= 8
-            for shift in range(1, min(8, len(keys))):
-                i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (roots[shift:] != roots[:-shift]) & (rows.up[shift:] + rows.up[:-shift] < 2))
-                i = i[np.bitwise_count(words[i] ^ words[i + shift]).sum(axis=1) <= radius]
-                yield from emit(rows, i, i + shift)
-            for h, n in zip(head[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-                one = rows[h : h + n]
-                if nearest is None:
-                    known = np.array([x is not None for x in one.longs])
-                    sketches = np.frombuffer(b"".join(x or bytes(LONG_BITS // 8) for x in one.longs), np.uint64).reshape(n, -1)
-                for i, j in close(one, radius, nearest):
-                    # the longer sketch tells most pairs of one family of texts apart
-                    for at in range(0, len(i), 1 << 15) if nearest is None else ():
-                        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                        take = ~(known[x] & known[y]) | (np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS)
-                        yield from emit(one, x[take], y[take])
-                    if nearest is not None:
-                        yield from emit(one, i, j)
+            held, n = [], 0
+            for i, j in _pairs(rows, radius, nearest):
+                held.append((i, j))
+                n += len(i)
+                if n >= 1 << 17:
+                    yield from emit(rows, held)
+                    held, n = [], 0
+            yield from emit(rows, held)
 
     return run
 
@@ -418,8 +432,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def meet(rows: DataFrame, nearest: int | None) -> DataFrame:
         more = "" if nearest else ", sketch binary"
         dealt = rows.mapInPandas(_keys(NEAR_BITS, 1, SEGMENTS, 100 / SIMILARITY), "key long, fp binary, up byte, root long" + more)
-        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary")
-        return pairs.distinct() if nearest else pairs
+        return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary")
 
     first = ws.keep(meet(classes.select("fp", "size", F.xxhash64("fp").alias("root")), NEAREST), "first")
     nodes = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
