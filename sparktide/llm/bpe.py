@@ -4,16 +4,20 @@ Texts are cut into pieces by the pattern of the vocabulary.  For each distinct p
 longest matching proposes tokens.  A sequence of tokens is the BPE encoding of its bytes if
 every token encodes to itself and every two neighbours stay apart when merged on their own;
 that is tested for all neighbours of all new pieces at once, by walking back the merges on
-both sides of the border.  Only pieces that fail go through exact merging.
+both sides of the border.  Only pieces that fail go through exact merging: the two tokens at a
+failing border are merged exactly, byte by byte, and their neighbours tested again, until all
+borders hold; a piece that does not settle is merged exactly as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,14 @@ from .common import documents, map_frames, table
 
 #: Pieces that GPT-2-style vocabularies never merge across (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces that a task remembers before it starts anew.
-MEMORY = 200_000
+#: The same pattern for texts that have no character of ``OTHER``, whose letters and digits are these.
+LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+COMMON = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
+OTHER = r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ffff]"
+#: Distinct pieces, and pairs of tokens, that a task remembers before it starts anew.
+MEMORY = 400_000
+#: Steps of a repair for each token of a piece, and a few more, before the piece is merged as a whole.
+PATIENCE = 8
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,10 +79,13 @@ class Vocabulary:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
         self.longest = max(map(len, self.ids))
-        self.prefixes = {b[:k] for b in self.ids for k in range(1, len(b) + 1)}
+        # each beginning of a token: its id, or -1 if it is none itself
+        self.prefixes = {b[:k]: -1 for b in self.ids for k in range(1, len(b) + 1)} | self.ids
         self.sound: dict[int, bool] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.common, self.other = regex.compile(PATTERN), re.compile(COMMON), re.compile(OTHER)
+        # what the bytes of two neighbours encode to; None if that is the two themselves
+        self.settled: dict[tuple[int, int], list[int] | None] = {}
         self.known: dict[str, bytes] = {}
         self.failed = 0
 
@@ -120,14 +133,17 @@ class Vocabulary:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        out, at, n, ids, prefixes = [], 0, len(piece), self.ids, self.prefixes
+        out, at, n, get = [], 0, len(piece), self.prefixes.get
         while at < n:
-            end, best, size = at + 1, ids[piece[at : at + 1]], 1
-            while end < n and piece[at : end + 1] in prefixes:
-                end += 1
-                got = ids.get(piece[at:end])
-                if got is not None:
+            end, best, size = at + 1, -1, 1
+            got = get(piece[at:end])
+            while got is not None:
+                if got >= 0:
                     best, size = got, end - at
+                if end == n:
+                    break
+                end += 1
+                got = get(piece[at:end])
             out.append(best)
             at += size
         return out
@@ -175,37 +191,66 @@ class Vocabulary:
             y[k] = self.left[v[~undo_left]]
         return fine
 
+    def repair(self, tokens: list[int]) -> list[int] | None:
+        """Sound tokens of which all neighbours stay apart, by exact merging of those that do not."""
+        settled, out, rest, steps = self.settled, [], tokens[::-1], PATIENCE * (len(tokens) + 2)
+        while rest:
+            token = rest.pop()
+            if out:
+                pair = (out[-1], token)
+                if pair in settled:
+                    made = settled[pair]
+                else:
+                    made = self.merge(self.bytes[pair[0]] + self.bytes[pair[1]])
+                    made = settled[pair] = None if len(made) == 2 and made[0] == pair[0] and made[1] == pair[1] else made
+                if made is not None:
+                    out.pop()
+                    rest += made[::-1]
+                    steps -= 1
+                    if not steps:
+                        return None
+                    continue
+            out.append(token)
+        return out
+
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that aren't known yet."""
         raw = [p.encode() for p in pieces]
         proposed = [self.propose(p) for p in raw]
         counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(counts.sum()))
         own = np.repeat(np.arange(len(pieces)), counts)
-        fails = np.zeros(len(pieces), bool)
+        fails, unsound = np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)
         tokens, where = np.unique(flat, return_inverse=True)
         sound = np.fromiter((self.is_sound(t) for t in tokens.tolist()), bool, len(tokens))
-        fails[own[~sound[where]]] = True
+        unsound[own[~sound[where]]] = True
         inside = np.flatnonzero(own[1:] == own[:-1])
         if len(inside):
             pairs, place = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
             fails[own[inside[~self.apart(pairs >> 32, pairs & 0xFFFFFFFF)[place]]]] = True
-        self.failed += int(fails.sum())
-        for piece, b, ids, fail in zip(pieces, raw, proposed, fails.tolist(), strict=True):
-            ids = self.merge(b) if fail else ids
-            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self.failed += int((fails | unsound).sum())
+        for k in np.flatnonzero(fails | unsound).tolist():
+            proposed[k] = (None if unsound[k] else self.repair(proposed[k])) or self.merge(raw[k])
+        flat = np.fromiter(chain.from_iterable(proposed), "<u4").tobytes()
+        ends = np.cumsum(np.fromiter(map(len, proposed), np.int64, len(proposed))) * 4
+        self.known.update(zip(pieces, map(flat.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit integers."""
         if len(self.known) > MEMORY:
             self.known = {}
+        if len(self.settled) > MEMORY:
+            self.settled = {}
         cut = []
         for text in texts:
-            parts = self.split.split(text) if self.split else [text]
-            cut.append([x for p in parts for x in ([p] if p in self.special else self.pattern.findall(p))])
+            pattern = self.pattern if self.other.search(text) else self.common
+            if not self.split or not any(s in text for s in self.special):
+                cut.append(pattern.findall(text))
+                continue
+            cut.append([x for p in self.split.split(text) for x in ([p] if p in self.special else pattern.findall(p))])
         for s, i in self.special.items():
             self.known[s] = struct.pack("<I", i)
-        fresh = {p for pieces in cut for p in pieces if p not in self.known}
+        fresh = set().union(*cut).difference(self.known)
         if fresh:
             self.learn(list(fresh))
         get = self.known.__getitem__
