@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Workspace, documents, merged, row_key, table
-from .induced_sort import Store, repeated_starts
+from .common import Workspace, keyed, map_frames, merged, table
+from .induced_sort import Growing, Shard, Store
 
 WIDTH = 200
 GRAM = 96
-#: Arrays of the sorter above so many bytes are mapped files in the task's own temp folder.
-SORT_MEMORY = 8 << 20
+#: What a sorter spends on memory; beyond it, arrays are mapped files in the task's own temp folder.
+SORT_MEMORY = 128 << 20
+#: Bytes of a shard, and the number of shards from which shards grow instead.
+SHARD_BYTES, SHARDS = 2 << 20, 10_000
 
 _BYTE_HASHES = anchors.mix(np.arange(1, 257, dtype=np.uint64))
 BLOCK = "doc_id long, kk long, anchor long, digest long, first int, starts int, copies int"
@@ -80,21 +82,18 @@ def _sort(width: int, memory: int):
     """All blocks of an anchor are in one partition, which is one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, digest, pieces = [], [], []
+        store = Store(None, memory)
+        shard, anchor, digest = Shard(width, store), Growing(store, np.int64), Growing(store, np.int64)
         for b in batches:
             anchor.append(b.column("anchor").to_numpy())
             digest.append(b.column("digest").to_numpy())
-            pieces += b.column("piece").to_pylist()
-        if not pieces:
+            for piece in b.column("piece"):
+                shard.add(piece.as_py())
+        if not anchor.size:
             return
-        anchor, digest = np.concatenate(anchor), np.concatenate(digest)
-        hit = repeated_starts(pieces, width, Store(None, memory))
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        begins = np.concatenate([[0], ends[:-1]])
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        s, e = edge[::2], edge[1::2]
-        own = np.searchsorted(ends, s, side="right")
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(digest[own]), pa.array((s - begins[own]).astype(np.int32)), pa.array((e - s).astype(np.int32))], ["anchor", "digest", "skip", "run"])
+        anchor, digest = anchor.done(), digest.done()
+        for own, first, run in shard.repeated():
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(digest[own]), pa.array(first.astype(np.int32)), pa.array(run.astype(np.int32))], ["anchor", "digest", "skip", "run"])
 
     return run
 
@@ -133,25 +132,25 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "suffix")
-    keyed = documents(docs).withColumn("kk", row_key(F.col("text")))
-    cuts = keyed.where(F.octet_length("text") >= width)
-    blocks = ws.keep(cuts.mapInPandas(_blocks(width, gram), BLOCK), "blocks")
+    cuts = keyed(docs).where(F.octet_length("text") >= width)
+    blocks = ws.keep(map_frames(cuts, _blocks(width, gram), BLOCK), "blocks")
     # copies within a batch are one row by now; one exchange by anchor serves both counts and the join
     dealt = blocks.where("copies > 0").repartition("anchor")
     groups = dealt.groupBy("anchor", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "kk", "first", "starts")).alias("rep"))
     contents = groups.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("copies").alias("all")).where("all > 1").drop("all")
     live = ws.keep(groups.join(contents, "anchor"), "live")
-    ws.drop()
+    size = live.where("contents > 1").agg(F.coalesce(F.sum(F.col("rep.starts") + width), F.lit(0))).first()[0]
+    shards = min(SHARDS, 1 + size // SHARD_BYTES)
     wanted = live.where("contents > 1").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.kk").alias("kk"), F.struct("rep.first", "rep.starts", "anchor", "digest").alias("x"))
     wanted = wanted.groupBy("doc_id", "kk").agg(F.collect_list("x").alias("own"))
     # rows that repeat an id and a text hold the same block; one of them will do
     texts = cuts.join(wanted.hint("shuffle_merge"), (cuts.doc_id.eqNullSafe(wanted.doc_id)) & (cuts.kk == wanted.kk)).select("text", "own")
     pieces = texts.mapInArrow(_cut(width), "anchor long, digest long, piece binary")
-    found = pieces.repartition("anchor").mapInArrow(_sort(width, memory), "anchor long, digest long, skip int, run int")
+    found = pieces.repartition(shards, "anchor").mapInArrow(_sort(width, memory), "anchor long, digest long, skip int, run int")
     whole = live.where("copies > 1").select("anchor", "digest", F.lit(0).alias("skip"), F.col("rep.starts").alias("run"))
     single = live.where("copies = 1 and contents > 1").select("anchor", "digest")
     hits = ws.keep(whole.unionByName(found.distinct().join(single, ["anchor", "digest"], "left_semi")), "hits")
-    ws.drop()
+    ws.drop("live")
     spots = blocks.join(hits, ["anchor", "digest"]).select("doc_id", "kk", F.struct((F.col("first") + F.col("skip")).alias("at"), "run").alias("x"))
     # a repeated row has the same hits; sets keep one of each
     per = spots.groupBy("doc_id", "kk").agg(F.collect_set("x").alias("x"))
@@ -166,9 +165,9 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, memory:
     lose their repeated bytes; other columns are ignored; an empty table gives no rows.
     """
     hits = repeated_bytes(docs, width, gram, memory)
-    keyed = documents(docs).withColumn("kk", row_key(F.col("text")))
-    both = keyed.join(hits, keyed.doc_id.eqNullSafe(hits.doc_id) & (keyed.kk == hits.kk), "left").select(keyed.doc_id, "text", "at", "run")
-    return both.mapInPandas(_finish(width), RESULT)
+    every = keyed(docs)
+    both = every.join(hits, every.doc_id.eqNullSafe(hits.doc_id) & (every.kk == hits.kk), "left").select(every.doc_id, "text", "at", "run")
+    return map_frames(both, _finish(width), RESULT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
