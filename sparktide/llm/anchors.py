@@ -92,10 +92,10 @@ def batches(symbols: np.ndarray, lengths: np.ndarray, size: int):
         first = end
 
 
-def blocks(symbols: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, width: int, gram: int):
+def blocks(symbols: np.ndarray, lengths: np.ndarray, hashes: np.ndarray | None, width: int, gram: int):
     """Blocks of many sequences of symbols: (sequence, anchor, digest, first start, starts).
 
-    ``symbols`` are those of all sequences, joined, as places in ``hashes``.  Sequences shorter
+    ``symbols`` are those of all sequences, joined, as places in ``hashes``, or hashes themselves.  Sequences shorter
     than ``width`` have no block.  ``digest`` is a second, independent hash of all symbols that
     the block covers.
     """
@@ -105,7 +105,7 @@ def blocks(symbols: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, width:
             n = hi - lo
             if n < width:
                 continue
-            values = hashes[symbols[lo:hi]]
+            values = symbols[lo:hi] if hashes is None else hashes[symbols[lo:hi]]
             grams = mix(Prefix(values, 0).grams(gram))
             at = leftmost_minima(grams, width - gram + 1)
             own = np.repeat(np.arange(one, end), lengths[one:end])[: len(at)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import count
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Words of the contracts: runs of anything but the six ASCII white-space characters.
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOCAL_CHECKPOINTS = "/tmp/sparktide-checkpoints"
 
 
@@ -121,16 +118,74 @@ class Ids(dict):
         return got
 
 
-def word_ids(texts: Iterable[bytes], words: re.Pattern = WORDS) -> tuple[list[bytes], list[np.ndarray]]:
+def word_ids(texts: Iterable[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words of a batch, and each text's words as ids into them."""
     ids, out = Ids(), []
     get = ids.__getitem__
     for text in texts:
-        found = words.findall(text)
+        # bytes are cut at the contracts' six white-space characters
+        found = text.split()
         out.append(np.fromiter(map(get, found), np.int64, len(found)))
     return list(ids), out
 
 
+def _byte_places() -> np.ndarray:
+    rng = np.random.default_rng(20)
+    return rng.integers(0, 1 << 64, (1 << 6) << 8, np.uint64)
+
+
+#: A random number for each byte at each of the first 64 places of a word.
+_PLACES = _byte_places()
+_PLACE, _BYTE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_CHUNK = 1 << 20
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, joined, and how many words each text has.
+
+    A word's hash is the sum of a random number for each of its bytes and their places, so
+    words are neither cut out nor compared one by one.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    parts, starts_of = [], []
+    lo = 0
+    while lo < len(joined):
+        hi = min(len(joined), lo + _CHUNK)
+        # a chunk ends behind a space; a word longer than a chunk makes a longer one
+        while hi < len(joined) and not _is_space(joined[hi - 1 : hi])[0]:
+            back = np.flatnonzero(_is_space(joined[lo:hi]))
+            hi = lo + int(back[-1]) + 1 if len(back) else min(len(joined), hi + _CHUNK)
+        part = joined[lo:hi]
+        space = _is_space(part)
+        first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if len(first):
+            at = np.arange(first[0], len(part)) - np.repeat(first, np.diff(np.append(first, len(part))))
+            tail = part[first[0] :]
+            value = _PLACES[np.minimum(at, 63) << 8 | tail]
+            far = np.flatnonzero(at >= 64)
+            if len(far):
+                with np.errstate(over="ignore"):
+                    value[far] = _mixed(at[far].astype(np.uint64) * _PLACE + tail[far] * _BYTE)
+            value[space[first[0] :]] = 0
+            parts.append(np.add.reduceat(value, first - first[0]))
+            starts_of.append(first + lo)
+        lo = hi
+    hashes, starts = (np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.int64), *starts_of]))
+    return _mixed(hashes), np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))) if len(sizes) else sizes
+
+
+def _is_space(b: np.ndarray) -> np.ndarray:
+    return (b == 32) | ((b - np.uint8(9)) < 5)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * _PLACE
+        x = (x ^ (x >> np.uint64(29))) * _BYTE
+    return x ^ (x >> np.uint64(32))
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c, joined."""
     ends = np.cumsum(counts)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, map_frames, table
 
 FILTERS, WIDTH, HALF = 16, 5, 128
 #: Most labelled rows of each class that training sees, chosen by a hash of doc_id.
@@ -149,7 +149,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     other columns are ignored; an empty table gives no rows.
     """
     network = train(docs, labels, sample)
-    scored = documents(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(_score(network), "doc_id long, held_out boolean, score double")
+    scored = map_frames(documents(docs).withColumn("held_out", held_out(F.col("doc_id"))), _score(network), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, map_frames, table
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -106,9 +106,9 @@ def secret_spans(docs: DataFrame, path: str | None = None, ratio: float = RATIO)
     reported for each; random strings don't overlap pattern matches; repeated rows are
     reported as often as they occur; other columns are ignored.
     """
-    return documents(docs).mapInPandas(_scan(path or vocabulary_path(), ratio, True), "doc_id long, kind string, start int, end int, secret string")
+    return map_frames(documents(docs), _scan(path or vocabulary_path(), ratio, True), "doc_id long, kind string, start int, end int, secret string")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans of each row of ``documents``, also of rows without any."""
-    return documents(table(spark, sf_dir, "documents")).mapInPandas(_scan(vocabulary_path(), RATIO, False), RESULT)
+    return map_frames(documents(table(spark, sf_dir, "documents")), _scan(vocabulary_path(), RATIO, False), RESULT)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, golay
-from .common import WORDS, Workspace, documents, free_name, keyed, map_frames, row_key, table
+from .common import Workspace, documents, free_name, keyed, map_frames, row_key, table
 
 SEED = 42
 BITS, SHINGLE, RADIUS = 64, 3, 3
@@ -59,7 +59,7 @@ def _prints(shingle: int, bits: int, distinct: bool):
         for b in batches:
             prints, sizes = [], []
             for text in b.text:
-                grams = shingles(WORDS.findall(text.encode().lower()), shingle)
+                grams = shingles(text.encode().lower().split(), shingle)
                 grams = list(set(grams)) if distinct else grams
                 prints.append(fingerprint(grams, bits))
                 sizes.append(len(grams))
@@ -286,7 +286,7 @@ def _sets(shingle: int, bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            every = [sorted(set(shingles(WORDS.findall(t.encode().lower()), shingle))) for t in b.text]
+            every = [sorted(set(shingles(t.encode().lower().split(), shingle))) for t in b.text]
             grams = [np.array([xxhash.xxh64_intdigest(g) for g in x], np.uint64).view(np.int64) for x in every]
             yield pd.DataFrame({"fp": [fingerprint(x, bits) for x in every], "grams": grams, "sketch": list(map(sketch, grams))})
 

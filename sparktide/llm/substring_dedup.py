@@ -16,13 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import WORDS, Workspace, documents, row_key, spread, table, word_ids
-from .suffix_dedup import BLOCK, copies, removed
+from .common import Workspace, documents, map_frames, row_key, spread, table, word_hashes
+from .suffix_dedup import BLOCK, removed
 
 WIDTH = 20
 GRAM = 6
@@ -32,20 +31,25 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 LOWEST = -(2**63)
 
 
-def _hashed(texts: list[bytes]):
-    distinct, ids = word_ids(texts)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
-    return hashes, ids
+def earliest(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each block occurs in the batch, at its earliest occurrence; 0 at the others."""
+    if not len(anchor):
+        return np.zeros(0, np.int32)
+    order = np.lexsort((first, doc, digest, anchor))
+    a, d = anchor[order], digest[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]))
+    out = np.zeros(len(anchor), np.int32)
+    out[order[head]] = np.append(head[1:], len(a)) - head
+    return out
 
 
 def _blocks(width: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hashes, ids = _hashed([t.encode() for t in b.text])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            symbols = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            q, a, d, f, c = anchors.blocks(symbols, lengths, hashes, width, gram)
-            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[q], "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32), "copies": copies(a, d)})
+            hashes, lengths = word_hashes([t.encode() for t in b.text])
+            q, a, d, f, c = anchors.blocks(hashes, lengths, None, width, gram)
+            doc = b.doc_id.to_numpy()[q]
+            yield pd.DataFrame({"doc_id": doc, "kk": b.kk.to_numpy()[q], "anchor": a, "digest": d, "first": f.astype(np.int32), "starts": c.astype(np.int32), "copies": earliest(a, d, doc, f)})
 
     return run
 
@@ -55,13 +59,13 @@ def _windows(width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hashes, ids = _hashed([t.encode() for t in b.text])
-            parts = []
-            for k, words in enumerate(ids):
+            hashes, lengths = word_hashes([t.encode() for t in b.text])
+            ends, parts = np.cumsum(lengths), []
+            for k, (lo, hi) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
                 first, count = np.asarray(b["first"].iloc[k], np.int64), np.asarray(b.starts.iloc[k], np.int64)
                 at = np.repeat(first, count) + spread(count)
                 with np.errstate(over="ignore"):
-                    values = hashes[words]
+                    values = hashes[lo:hi]
                     h1 = anchors.mix(anchors.Prefix(values, 0).of(at, at + width))
                     h2 = anchors.mix(anchors.Prefix(anchors.mix(values), 1).of(at, at + width))
                 parts.append(pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc_id": b.doc_id.iloc[k], "kk": b.kk.iloc[k], "at": at.astype(np.int32), "fresh": b.fresh.iloc[k]}))
@@ -100,8 +104,9 @@ class SubstringIndex:
         """
         ws, n, key = self.ws, self.added, ["anchor", "digest"]
         self.added += 1
-        blocks = ws.keep(batch.mapInPandas(_blocks(self.width, self.gram), BLOCK), f"blocks{n}")
-        firsts = blocks.groupBy(*key).agg(F.min(F.struct("doc_id", "first", "kk", "starts")).alias("own"), F.count("*").alias("copies"))
+        blocks = ws.keep(map_frames(batch, _blocks(self.width, self.gram), BLOCK), f"blocks{n}")
+        # copies within a batch are one row by now, so they need no other sum before the exchange
+        firsts = blocks.where("copies > 0").repartition("anchor").groupBy(*key).agg(F.min(F.struct("doc_id", "first", "kk", "starts")).alias("own"), F.sum("copies").alias("copies"))
         history = self.history()
         if history is None:
             known = firsts.withColumn("old", F.lit(False))
@@ -126,7 +131,7 @@ class SubstringIndex:
         for docs, rows, new in sides:
             own = rows.groupBy("doc_id", "kk").agg(F.collect_list(F.struct("first", "starts")).alias("x"))
             texts = docs.join(own.hint("shuffle_merge"), ["doc_id", "kk"]).select("doc_id", "kk", "text", "x.first", "x.starts", F.lit(new).alias("fresh"))
-            windows.append(texts.mapInPandas(_windows(self.width), "h1 long, h2 long, doc_id long, kk long, at int, fresh boolean"))
+            windows.append(map_frames(texts, _windows(self.width), "h1 long, h2 long, doc_id long, kk long, at int, fresh boolean"))
         windows = ws.keep(reduce(DataFrame.unionByName, windows), f"windows{n}")
         ws.drop()
         owners = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("o"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -147,7 +152,8 @@ def _finish(width: int):
         for b in batches:
             rows = []
             for k, (doc, text) in enumerate(zip(b.doc_id, b.text, strict=True)):
-                words = WORDS.findall(text.encode())
+                # bytes are cut at the contract's six white-space characters
+                words = text.encode().split()
                 s, e = removed(b, k, len(words), width)
                 kept = [w for lo, hi in zip(np.concatenate([[0], e]), np.concatenate([s, [len(words)]]), strict=True) for w in words[lo:hi]]
                 rows.append((None if doc == LOWEST else doc, len(words), int((e - s).sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -181,7 +187,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch
     per = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "kk").agg(F.collect_set(F.struct("at", "run")).alias("x"))
     per = per.select("doc_id", "kk", F.col("x.at").alias("at"), F.col("x.run").alias("run"))
     both = keyed.join(per, ["doc_id", "kk"], "left").select("doc_id", "text", "at", "run")
-    return both.mapInPandas(_finish(width), RESULT)
+    return map_frames(both, _finish(width), RESULT)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
