@@ -1,17 +1,28 @@
 """Operator 7: personal data, by patterns and by bootstrapped contexts.
 
 Base patterns find e-mail and IP addresses, cards and phone numbers.  These seed a bootstrap
-over the whole corpus: the words before a seed are a lexical pattern; every other string with
-digits is a candidate instance of the patterns before it.  Spark scores the bipartite graph of
-patterns and instances in rounds: a pattern's confidence is the share of its distinct instances
-that are known, an instance becomes known when patterns of high confidence agree on it.  All
-occurrences of discovered instances behind accepted patterns are reported as kind ``id``.
+over the whole corpus.  A lexical pattern is what stands around a slot: the word before it, the
+two words before it, or the words on both sides, in lower case, without punctuation at their
+ends and with all digits alike.
+
+1.  Patterns around at least ``SUPPORT`` different seeds are candidates.
+2.  One scan counts how often each of them has anything in its slot, and how often a seed;
+    patterns that seeds hardly ever fill, such as common words, go at once.
+3.  One scan takes every word, of letters or digits and of any length, that stands in a slot of
+    the others.  Spark scores the bipartite graph of patterns and instances in rounds until
+    nothing changes: a pattern's confidence is the share of its distinct instances that are
+    known, an instance becomes known when patterns of high confidence agree on it.
+
+Occurrences of discovered instances in slots of accepted patterns are of kind ``id``.  Words are
+cut at white space, ``:`` and ``=``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +42,14 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Least known instances of a pattern, least share of them, and least score of an instance.
 SUPPORT, CONFIDENCE, SCORE = 5, 0.8, 0.95
-ROUNDS = 3
-CANDIDATE = 64
+#: Least share of a pattern's slots that seeds fill, below which its instances are not looked at.
+FLOOR = 0.1
+#: Patterns that one scan of the texts looks for; more take more scans.
+PATTERNS = 100_000
+SPLIT = str.maketrans({":": " ", "=": " "})
+WORD = re.compile(r"\S+")
+EDGES = ".,;!?\"'()[]{}<>*#$%&|-"
+DIGIT = re.compile(r"[0-9]")
 #: Discovered spans are broadcast only when there are at most so many.
 BROADCAST_ROWS = 100_000
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -75,62 +92,172 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The last two words and the last word before a place, in lower case and without punctuation at their ends."""
-    words = [w.strip(".,;:!?\"'()[]{}<>*#$%&=|-").lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    words = [w for w in words if w]
-    return [" ".join(words[-k:]) for k in range(1, len(words) + 1)]
-
-
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Unbroken strings with four digits in a row, apart from base matches."""
-    out, last = [], 0
-    for m in DIGITS.finditer(text):
-        if m.start() < last:
-            continue
-        a, b = m.start(), m.end()
-        while a > last and m.end() - a <= CANDIDATE and (text[a - 1].isalnum() or text[a - 1] in "-_./"):
-            a -= 1
-        while b < len(text) and b - a <= CANDIDATE and (text[b].isalnum() or text[b] in "-_/"):
-            b += 1
-        last = b
-        if b - a <= CANDIDATE and not any(s < b and a < e for _, s, e in base):
-            out.append((a, b))
-    return out
+class Words(dict):
+    """Words as patterns have them, remembered as far as memory allows."""
+
+    def __missing__(self, word: str) -> str:
+        got = DIGIT.sub("0", word.strip(EDGES).lower()) or word
+        if len(self) < 200_000:
+            self[word] = got
+        return got
+
+
+class Text:
+    """Words of a text, and its base spans and the places of words once they are needed."""
+
+    def __init__(self, text: str, known: Words, spans: list[Span] | None = None):
+        self.text, self.cut = text, text.translate(SPLIT)
+        self.words = self.cut.split()
+        self.norms = list(map(known.__getitem__, self.words))
+        self._places, self._spans, self._base = None, None, spans
+
+    @property
+    def places(self) -> list[tuple[int, int]]:
+        if self._places is None:
+            self._places = [m.span() for m in WORD.finditer(self.cut)]
+        return self._places
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        """Base spans, of any kind, those that overlap joined."""
+        if self._spans is None:
+            self._spans = []
+            for _, s, e in sorted(base_spans(self.text) if self._base is None else self._base, key=lambda x: x[1:]):
+                if self._spans and s < self._spans[-1][1]:
+                    self._spans[-1] = (self._spans[-1][0], max(e, self._spans[-1][1]))
+                else:
+                    self._spans.append((s, e))
+        return self._spans
+
+    def seed(self, i: int) -> tuple[int, int] | None:
+        """The base span that word ``i`` belongs to."""
+        if "@" not in self.words[i] and not DIGIT.search(self.words[i]):
+            return None
+        a, b = self.places[i]
+        k = bisect_right(self.spans, (b - 1, len(self.text))) - 1
+        return self.spans[k] if k >= 0 and self.spans[k][1] > a else None
+
+    def contexts(self, i: int, after: int) -> list[str]:
+        """Patterns of the slot of words ``i`` up to ``after``."""
+        n = self.norms
+        out = [f"{n[i - 1]} _"] if i else []
+        if i > 1:
+            out.append(f"{n[i - 2]} {n[i - 1]} _")
+        if i and after < len(n):
+            out.append(f"{n[i - 1]} _ {n[after]}")
+        return out
+
+    def slot(self, i: int) -> tuple[int, int, bool, int]:
+        """Start, end, whether a seed fills it, and the word after it, of the slot that begins with word ``i``."""
+        span = self.seed(i)
+        if span is None:
+            a, b = self.places[i]
+            raw = self.text[a:b]
+            core = raw.strip(EDGES) or raw
+            a += raw.index(core)
+            return a, a + len(core), False, i + 1
+        after = i + 1
+        while after < len(self.words) and self.places[after][0] < span[1]:
+            after += 1
+        return *span, True, after
+
+    def seeds(self) -> list[tuple[int, int, list[str]]]:
+        out, i = [], 0
+        for s, e in self.spans:
+            while i < len(self.places) and self.places[i][1] <= s:
+                i += 1
+            after = i
+            while after < len(self.places) and self.places[after][0] < e:
+                after += 1
+            out.append((s, e, self.contexts(i, after)))
+        return out
+
+    def slots(self, patterns: set[str], left: set[str]) -> Iterator[tuple[int, list[str]]]:
+        """Words in slots of given patterns, whose words before a slot are ``left``, with those patterns."""
+        n = self.norms
+        for i in [k + 1 for k, w in enumerate(n) if w in left]:
+            if i < len(n):
+                after = self.slot(i)[3] if "@" in self.words[i] or DIGIT.search(self.words[i]) else i + 1
+                met = [c for c in self.contexts(i, after) if c in patterns]
+                if met:
+                    yield i, met
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-SCAN = "doc_id long, kk long, n_email long, n_ip long, n_card long, n_phone long, base string, seeds array<struct<context:string,instance:string>>, found array<struct<context:string,instance:string,start:int,end:int>>"
+SCAN = "doc_id long, kk long, n_email long, n_ip long, n_card long, n_phone long, base string, seeds array<struct<context:string,instance:string>>"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Words()
     for b in batches:
         rows = []
         for doc, kk, text in zip(b.doc_id, b.kk, b.text, strict=True):
             base = base_spans(text)
-            seeds = [{"context": c, "instance": text[s:e]} for _, s, e in base for c in contexts(text, s)]
-            found = [{"context": c, "instance": text[s:e], "start": s, "end": e} for s, e in candidates(text, base) for c in contexts(text, s)]
-            rows.append((doc, kk, *[sum(k == n for k, _, _ in base) for n in range(4)], joined(base), seeds, found))
-        out = pd.DataFrame(rows, columns=["doc_id", "kk", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds", "found"])
+            seeds = [{"context": c, "instance": text[s:e]} for s, e, found in (Text(text, known, base).seeds() if base else ()) for c in found]
+            rows.append((doc, kk, *[sum(k == n for k, _, _ in base) for n in range(4)], joined(base), seeds))
+        out = pd.DataFrame(rows, columns=["doc_id", "kk", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
 
 
-def discover(ws: Workspace, scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(context, instance) pairs that the bootstrap accepts.
+def _left(patterns: set[str]) -> set[str]:
+    """The words right before the slots."""
+    return {c[: c.index(" _")].rsplit(" ", 1)[-1] for c in patterns}
+
 
-    A frequent context meets many instances: its pairs are made distinct and counted before
-    anything is joined, so a context of a third of all candidates is one row.
+def _count(patterns: set[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, left = Words(), _left(patterns)
+        for b in batches:
+            every, filled = Counter(), Counter()
+            for text in map(lambda t: Text(t, known), b.text):
+                for i, met in text.slots(patterns, left):
+                    every.update(met)
+                    if text.seed(i):
+                        filled.update(met)
+            yield pd.DataFrame({"context": list(every), "n": list(every.values()), "seeds": [filled[c] for c in every]})
+
+    return run
+
+
+def _take(patterns: set[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, left = Words(), _left(patterns)
+        for b in batches:
+            rows = []
+            for doc, kk, t in zip(b.doc_id, b.kk, b.text, strict=True):
+                text = Text(t, known)
+                for i, met in text.slots(patterns, left):
+                    start, end, seed, _ = text.slot(i)
+                    rows += [(doc, kk, c, t[start:end], start, end) for c in met if not seed]
+            out = pd.DataFrame(rows, columns=["doc_id", "kk", "context", "instance", "start", "end"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return run
+
+
+def _in_blocks(patterns: DataFrame, scan: Callable[[set[str]], DataFrame], schema: str) -> DataFrame:
+    """The rows that scans for all patterns give, at most ``PATTERNS`` of them a scan."""
+    spark, blocks = patterns.sparkSession, -(-patterns.count() // PATTERNS)
+    out = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        part = patterns.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == k).select("context").collect()
+        out = out.unionByName(scan({r.context for r in part}))
+    return out
+
+
+def discover(ws: Workspace, graph: DataFrame) -> DataFrame:
+    """(context, instance) pairs that the bootstrap accepts, of distinct pairs with their flag ``seed``.
+
+    A frequent context meets many instances: its pairs are distinct before anything is joined,
+    so a context of a third of all words is one row for each instance.
     """
-    seeds = scan.select(F.explode("seeds").alias("x")).select("x.*", F.lit(True).alias("seed"))
-    found = scan.select(F.explode("found").alias("x")).select("x.context", "x.instance", F.lit(False).alias("seed"))
-    graph = ws.keep(seeds.unionByName(found).groupBy("context", "instance").agg(F.max("seed").alias("seed")), "graph")
-    known = graph.groupBy("instance").agg(F.max("seed").alias("known")).where("known")
-    accepted = None
-    for k in range(rounds):
+    known, before, k = graph.where("seed").select("instance", F.lit(True).alias("known")).distinct(), -1, 0
+    while True:
         marked = graph.join(known, "instance", "left").select("context", "instance", F.coalesce("known", F.lit(False)).alias("known"))
         scores = marked.groupBy("context").agg(F.count("*").alias("n"), F.count_if("known").alias("n_known"))
         good = scores.where((F.col("n_known") >= SUPPORT) & (F.col("n_known") >= CONFIDENCE * F.col("n"))).select("context", (F.col("n_known") / (F.col("n") + 1)).alias("confidence"))
@@ -138,19 +265,35 @@ def discover(ws: Workspace, scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         votes = graph.where("not seed").join(good, "context")
         # noisy-or of the contexts that have the instance
         score = votes.groupBy("instance").agg((1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("score"))
-        new = score.where(F.col("score") >= SCORE).select("instance", F.lit(True).alias("known"))
+        new = ws.keep(score.where(F.col("score") >= SCORE).select("instance", F.lit(True).alias("known")), f"new{k}")
+        found = new.count()
+        # known instances only raise confidences, so their number tells whether anything changed
+        if found == before:
+            return votes.join(new, "instance", "left_semi").select("context", "instance").distinct()
         known = ws.keep(graph.where("seed").select("instance", F.lit(True).alias("known")).unionByName(new).distinct(), f"known{k}")
-        accepted = votes.join(new, "instance", "left_semi").select("context", "instance")
-    return accepted.distinct()
+        before, k = found, k + 1
+
+
+MORE = "doc_id long, kk long, more array<struct<start:int,end:int>>"
 
 
 def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scan of every row, and the discovered spans: (doc_id, kk, more array of start and end)."""
     ws = Workspace(docs.sparkSession, "pii")
-    scan = ws.keep(map_frames(keyed(docs), _scan, SCAN), "scan")
-    pairs = discover(ws, scan)
-    every = scan.select("doc_id", "kk", F.explode("found").alias("x")).select("doc_id", "kk", "x.*")
-    more = every.join(pairs, ["context", "instance"], "left_semi").groupBy("doc_id", "kk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    texts = keyed(docs)
+    scan = ws.keep(map_frames(texts, _scan, SCAN), "scan")
+    seeds = ws.keep(scan.select(F.explode("seeds").alias("x")).select("x.*").distinct(), "seeds")
+    patterns = ws.keep(seeds.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("context"), "candidates")
+    counts = _in_blocks(patterns, lambda p: map_frames(texts, _count(p), "context string, n long, seeds long"), "context string, n long, seeds long")
+    counts = counts.groupBy("context").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"))
+    patterns = ws.keep(counts.where(F.col("seeds") >= FLOOR * F.col("n")).select("context"), "patterns")
+    if patterns.isEmpty():
+        return scan, docs.sparkSession.createDataFrame([], MORE)
+    taken = "doc_id long, kk long, context string, instance string, start int, end int"
+    found = ws.keep(_in_blocks(patterns, lambda p: map_frames(texts, _take(p), taken), taken), "found")
+    graph = seeds.join(patterns, "context", "left_semi").select("context", "instance", F.lit(True).alias("seed")).unionByName(found.select("context", "instance", F.lit(False).alias("seed")))
+    pairs = discover(ws, ws.keep(graph.groupBy("context", "instance").agg(F.max("seed").alias("seed")), "graph"))
+    more = found.join(pairs, ["context", "instance"], "left_semi").groupBy("doc_id", "kk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
     return scan, ws.keep(more, "more")
 
 

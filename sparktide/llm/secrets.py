@@ -1,8 +1,9 @@
 """Operator 10: secrets, by pattern and by token efficiency.
 
 Text of people and programs costs a byte-pair vocabulary about four characters a token; random
-strings cost about two or fewer.  Long unbroken strings of a mixed alphabet that fall below a
-ratio are reported, unless their shape says that they are digests, identifiers or numbers.
+strings cost about two or fewer.  Unbroken strings that fall below a ratio are reported, whether
+or not a pattern has them too, unless they are known: numbers, identifiers by their shape, and
+digests by the name that stands before them.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates for the token test.
-STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Characters per token below which a string counts as random.
+STRING = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Characters per token below which a string of mixed characters counts as random.
 RATIO = 2.4
-#: Shapes that are random by nature but no secrets: hexadecimal digests and identifiers (of any
-#: case, with or without dashes), numbers, and digests with the name of their algorithm.
-KNOWN = re.compile(r"[0-9a-fA-F]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+/=-]+|(md5|sha1|sha224|sha256|sha384|sha512)[-_=][A-Za-z0-9+/=]+")
+#: The same for strings of letters alone, which must be longer: words of any language can be rare.
+LETTER_RATIO, LETTERS = 2.0, 24
+#: Shapes that are random by nature but no secrets: identifiers, numbers, and digests with the name of their algorithm.
+KNOWN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(md5|sha1|sha224|sha256|sha384|sha512)[-_=][A-Za-z0-9+/=]+", re.I)
+#: Names that make the string behind them a known digest or identifier.
+NAMED = re.compile(r"(md5|sha-?[0-9]{0,3}|digest|checksum|hash|commit|revision|etag|fingerprint|uuid|guid)[^A-Za-z0-9]{1,4}\Z", re.I)
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -63,13 +67,14 @@ def is_mixed(s: str) -> bool:
     return has_alpha and (has_digit or turns >= len(s) / 5)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], enc, ratio: float) -> list[tuple[int, int, int]]:
+def random_spans(text: str, enc, ratio: float) -> list[tuple[int, int, int]]:
     out = []
     for m in STRING.finditer(text):
         s = m[0]
-        if KNOWN.fullmatch(s) or not is_mixed(s) or any(a < m.end() and m.start() < b for _, a, b in base):
+        mixed = is_mixed(s)
+        if not mixed and len(s) < LETTERS or KNOWN.fullmatch(s) or NAMED.search(text, max(0, m.start() - 24), m.start()):
             continue
-        if len(s) < ratio * len(enc.encode_ordinary(s)):
+        if len(s) < (ratio if mixed else min(ratio, LETTER_RATIO)) * len(enc.encode_ordinary(s)):
             out.append((3, m.start(), m.end()))
     return out
 
@@ -85,7 +90,7 @@ def _scan(path: str, ratio: float, full: bool):
             rows = []
             for doc, text in zip(b.doc_id, b.text, strict=True):
                 base = base_spans(text)
-                every = sorted(base + random_spans(text, base, enc, ratio), key=lambda x: (x[1], x[0]))
+                every = sorted(base + random_spans(text, enc, ratio), key=lambda x: (x[1], x[0]))
                 if full:
                     rows += [(doc, KINDS[k], s, e, text[s:e]) for k, s, e in every]
                 else:
@@ -103,8 +108,8 @@ def secret_spans(docs: DataFrame, path: str | None = None, ratio: float = RATIO)
     """One row for each secret: doc_id, kind, start, end (code points, end exclusive), secret.
 
     A null text has none; a null doc_id stays null; strings of one place and several kinds are
-    reported for each; random strings don't overlap pattern matches; repeated rows are
-    reported as often as they occur; other columns are ignored.
+    reported for each, random strings too; repeated rows are reported as often as they occur;
+    whole texts are read, however long; other columns are ignored; an empty table gives no rows.
     """
     return map_frames(documents(docs), _scan(path or vocabulary_path(), ratio, True), "doc_id long, kind string, start int, end int, secret string")
 

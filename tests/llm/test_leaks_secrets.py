@@ -48,7 +48,7 @@ def test_secrets(spark):
     rows = list(texts.items()) + [(None, texts[2]), (2, texts[2])]
     got = {(r.doc_id, r.kind, r.start, r.end): r.secret for r in secrets.secret_spans(frame(spark, rows)).collect()}
     expected = {
-        (1, "assign", 2, 31), (1, "hex", 11, 31), (1, "assign", 33, 53), (2, "access", 0, 20), (2, "hex", 29, 45), (3, "random", 4, 28), (None, "access", 0, 20), (None, "hex", 29, 45), (4, "hex", 77, 102),
+        (1, "assign", 2, 31), (1, "hex", 11, 31), (1, "random", 11, 31), (1, "assign", 33, 53), (2, "access", 0, 20), (2, "hex", 29, 45), (3, "random", 4, 28), (None, "access", 0, 20), (None, "hex", 29, 45), (4, "hex", 77, 102),
     }
     assert set(got) == expected
     assert got[3, "random", 4, 28] == "Zq8vR2tLw9XkPb4mNc7YdHs3"
