@@ -1,4 +1,4 @@
-"""Seconds of the headline queries, the median of two warm runs; prints one JSON line."""
+"""Seconds of the headline queries, the median of three warm runs; prints one JSON line."""
 
 import json
 import os
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from sparktide.plans.queries import QUERIES
 
-HEADLINE = ["downsample_fill", "count_sum_avg", "first_last_value", "mode", "count_if_ge", "window_tumbling_empty", "window_sliding", "window_month", "window_session", "window_condition", "window_count", "window_variation_equal", "window_variation_delta", "fill_linear_midpoint", "last_query", "m4", "mvavg", "zscore", "iqr", "ksigma", "resample", "median_mad", "cov_pearson", "group_by_tags", "wide_to_narrow", "acf", "fft_round_trip"]
+HEADLINE = ["downsample_fill", "count_sum_avg", "first_last_value", "mode", "count_if_ge", "window_tumbling_empty", "window_sliding", "window_month", "window_session", "window_condition", "window_count", "window_variation_equal", "window_variation_delta", "fill_linear_midpoint", "last_query", "m4", "mvavg", "zscore", "iqr", "ksigma", "resample", "median_mad", "cov_pearson", "group_by_tags", "wide_to_narrow", "acf", "fft_round_trip", "fill_previous", "time_range", "sql_align_by_time", "udaf_square_mean"]
 
 
 def main() -> None:
@@ -21,7 +21,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(3):
+        for _ in range(4):
             start = time.time()
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - start)

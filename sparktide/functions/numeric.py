@@ -7,11 +7,14 @@ order of time; NaN allowed where it says so) and parameters, and returns (times,
 
 from __future__ import annotations
 
+import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def apply(df: DataFrame, function, value: str | list[str], by: list[str], time: str = "time", **parameters) -> DataFrame:
@@ -21,14 +24,15 @@ def apply(df: DataFrame, function, value: str | list[str], by: list[str], time:
     schema = ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "time long", "value double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable").dropna(subset=columns)
+        pdf = pdf.sort_values(time, kind="stable")
         t, v = function(pdf[time].to_numpy(np.int64), *[pdf[c].to_numpy(np.float64) for c in columns], **parameters)
         out = pd.DataFrame({"time": np.asarray(t, np.int64), "value": np.asarray(v, np.float64)})
         for b in reversed(by):
             out.insert(0, b, pdf[b].iloc[0] if len(pdf) else None)
         return out
 
-    return df.select(*by, time, *columns).dropna(subset=columns).groupBy(*by).applyInPandas(run, schema)
+    there = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    return df.select(*by, time, *columns).where(there).groupBy(*by).applyInPandas(run, schema)
 
 
 def _index(values):
@@ -68,11 +72,15 @@ def _levinson(r, p):
 
 
 def pacf(t, v, lag=None):
-    n = len(v)
+    """Partial autocorrelations at the times of the first rows, from autocovariances divided by their overlap."""
+    n, v = len(v), np.where(np.isfinite(v), v, 0.0)
     if n < 2:
-        return _index(np.ones(n))
-    lag = lag if lag is not None else min(int(10 * math.log10(n)), n - 1)
-    return _index(np.append(1.0, _levinson(_autocorrelation(v, lag), lag)[1]))
+        return t[:0], v[:0]
+    if lag is None or not 0 <= lag < n:
+        lag = min(int(10 * math.log10(n)), n - 1)
+    d = v - v.mean()
+    r = np.array([(d[k:] * d[: n - k]).sum() / (n - k) for k in range(lag + 1)])
+    return t[: lag + 1], np.append(1.0, _levinson(r, lag)[1])
 
 
 def ar(t, v, p=1):
@@ -87,12 +95,34 @@ def _lines(v):
 
 
 def period(t, v):
-    """The median step between the peaks of the autocorrelation that are above one half."""
+    """The median step between peaks of the correlation of the series with itself, 0 without any.
+
+    The correlation at a shift is that of the overlapping parts.  The first peak above one half
+    says how wide the window is in which a peak must be the largest value.
+    """
+    good = np.isfinite(v)
+    if not good.any():
+        return [0], [0.0]
+    # values that are not finite repeat the one before
+    v = v[np.maximum.accumulate(np.where(good, np.arange(len(v)), int(good.argmax())))]
     n = len(v)
-    r = _autocorrelation(v, n - 1) if n > 2 else np.zeros(0)
-    peaks = [k for k in range(1, n - 1) if r[k] > 0.5 and r[k] >= r[k - 1] and r[k] >= r[k + 1]] if n > 2 else []
-    steps = np.diff([0, *peaks])
-    return [0], [float(np.median(steps)) if len(steps) else 0.0]
+    total, power = (np.concatenate([[0], np.cumsum(x)]) for x in (v, v * v))
+    k = np.arange(n)
+    size = n - k
+    xy = np.correlate(v, v, "full")[n - 1 :]
+    x, y, xx, yy = total[size], total[n] - total[k], power[size], power[n] - power[k]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (size * xy - x * y) / np.sqrt(size * xx - x * x) / np.sqrt(size * yy - y * y)
+    inner = np.arange(1, min(n - 1, 100))
+    tops = inner[(r[inner] > r[inner - 1]) & (r[inner] > r[inner + 1]) & (r[inner] > 0.5)]
+    window = int(tops[0]) if len(tops) else 100
+    peaks = [0]
+    for i in range(n - window + 1):
+        middle = i + window // 2
+        part = np.nan_to_num(r[i : i + window], nan=-np.inf)
+        if r[middle] > 0.5 and part.argmax() == window // 2:
+            peaks.append(middle)
+    return [0], [float(int(np.median(np.diff(peaks)))) if len(peaks) > 1 else 0.0]
 
 
 def _gamma_q(a, x):
@@ -150,50 +180,102 @@ def sample_triangle(t, v, k=1):
     return t[out], v[out]
 
 
-def _fit_error(v):
-    x = np.arange(len(v))
-    if len(v) < 3:
-        return 0.0
-    slope, base = np.polyfit(x, v, 1)
-    return float(np.abs(v - slope * x - base).max())
-
-
-def segment(t, v, error=0.1, output="first"):
-    """Bottom-up pieces of lines: neighbours merge while the worst distance stays below ``error``."""
-    pieces = [(k, min(k + 2, len(v))) for k in range(0, len(v), 2)]
-    cost = [_fit_error(v[a:d]) for (a, _), (_, d) in zip(pieces, pieces[1:], strict=False)]
-    while cost and min(cost) < error:
-        k = int(np.argmin(cost))
-        pieces[k : k + 2] = [(pieces[k][0], pieces[k + 1][1])]
-        del cost[k]
-        for j in (k - 1, k):
-            if 0 <= j < len(cost):
-                cost[j] = _fit_error(v[pieces[j][0] : pieces[j + 1][1]])
-    if output == "first":
-        at = [a for a, _ in pieces]
-        return t[at], v[at]
-    line = np.concatenate([np.polyval(np.polyfit(np.arange(b - a), v[a:b], 1), np.arange(b - a)) if b - a > 1 else v[a:b] for a, b in pieces]) if pieces else v
-    return t, line
+def _line(v):
+    """Values of the line of least squares over row numbers."""
+    n = len(v)
+    if n < 3:
+        return v
+    x = np.arange(n) - (n - 1) / 2
+    return v.mean() + (x * v).sum() / (x * x).sum() * x
+
+
+def _error(v):
+    return float(np.abs(_line(v) - v).mean())
+
+
+def bottom_up(v, error: float) -> list[int]:
+    """Where the pieces of lines begin: the neighbours whose joint line errs least are joined while it errs less than ``error`` on average."""
+    n = len(v)
+    if n <= 3:
+        return [0]
+    # pairs; a last one of three if the number is odd
+    end = {a: min(a + 2, n) for a in range(0, n - n % 2, 2)}
+    end[max(end)] = n
+    left = {b: a for a, b in end.items()}
+    cost = {a: _error(v[a : end[b]]) for a, b in end.items() if b < n}
+    heap = [(c, a) for a, c in cost.items()]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < error:
+        c, a = heapq.heappop(heap)
+        if cost.get(a) != c:
+            continue
+        b = end[a]
+        end[a] = end.pop(b)
+        cost.pop(b, None)
+        left[end[a]] = a
+        left.pop(b)
+        for p in (a, left.get(a)):
+            if p is not None and end[p] < n:
+                cost[p] = _error(v[p : end[end[p]]])
+                heapq.heappush(heap, (cost[p], p))
+            elif p is not None:
+                cost.pop(p, None)
+    return sorted(end)
+
+
+def swab(v, error: float, window: int) -> list[int]:
+    """The same over a window that slides: its first piece is final, then the window moves on behind it."""
+    begins, at, n = [], 0, len(v)
+    while at < n:
+        found = bottom_up(v[at : at + max(window, 4)], error)
+        if at + max(window, 4) >= n:
+            return begins + [at + a for a in found]
+        begins.append(at)
+        at += found[1] if len(found) > 1 else max(window, 4)
+    return begins
+
+
+def segment(t, v, error=0.1, output="first", method="bottom-up", window=10):
+    """Pieces of lines: their first points (``first``) or all points on them (``all``)."""
+    if method.lower() not in ("bottom-up", "swab"):
+        raise ValueError(f"no such method of segmentation: {method}")
+    good = np.isfinite(v)
+    t, v = t[good], v[good]
+    if not len(v):
+        return t, v
+    begins = bottom_up(v, error) if method.lower() == "bottom-up" else swab(v, error, window)
+    lines = np.concatenate([_line(v[a:b]) for a, b in zip(begins, [*begins[1:], len(v)], strict=True)])
+    return (t[begins], lines[begins]) if output == "first" else (t, lines)
 
 
 def spline(t, v, points=10):
-    """Akima's spline at evenly spaced times; nothing for fewer than four points."""
+    """Akima's spline at evenly spaced times, rounded to whole microseconds; nothing for fewer than five points."""
+    good = np.isfinite(v)
+    t, v = t[good], v[good]
     n = len(v)
-    if n < 4 or points < 2:
+    if n < 5 or points < 2:
         return _index(np.zeros(0))
     x = (t - t[0]).astype(float)
-    m = np.diff(v) / np.diff(x)
-    m = np.concatenate([[3 * m[0] - 2 * m[1], 2 * m[0] - m[1]], m, [2 * m[-1] - m[-2], 3 * m[-1] - 2 * m[-2]]])
-    d = np.abs(np.diff(m))
-    w1, w2 = d[2:], d[:-2]
-    total = w1 + w2
-    slope = np.where(total > 1e-12, (w1 * m[1:-2] + w2 * m[2:-1]) / np.where(total > 1e-12, total, 1), (m[1:-2] + m[2:-1]) / 2)
-    at = x[0] + (x[-1] - x[0]) * np.arange(points) / (points - 1)
+    d = np.diff(v) / np.diff(x)
+    w = np.abs(np.diff(d))
+    slope = np.empty(n)
+    i = np.arange(2, n - 2)
+    ahead, back = w[i], w[i - 2]
+    even = ((x[i + 1] - x[i]) * d[i - 1] + (x[i] - x[i - 1]) * d[i]) / (x[i + 1] - x[i - 1])
+    flat = (np.abs(ahead) < 1e-300) & (np.abs(back) < 1e-300)
+    slope[i] = np.where(flat, even, (ahead * d[i - 1] + back * d[i]) / np.where(flat, 1, ahead + back))
+    # the outer two slopes on either side are those of the parabola through the outer three points
+    for a, places in ((0, (0, 1)), (n - 3, (n - 2, n - 1))):
+        curve = (d[a + 1] - d[a]) / (x[a + 2] - x[a])
+        for k in places:
+            slope[k] = d[a] + curve * (2 * x[k] - x[a] - x[a + 1])
+    k = np.arange(points)
+    at = np.floor((x[0] * (points - 1 - k) + x[-1] * k) / (points - 1) + 0.5)
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    h, s = x[k + 1] - x[k], at - x[k]
-    u = s / h
+    h = x[k + 1] - x[k]
+    u = (at - x[k]) / h
     y = v[k] * (1 + 2 * u) * (1 - u) ** 2 + v[k + 1] * u * u * (3 - 2 * u) + h * u * (1 - u) * (slope[k] * (1 - u) - slope[k + 1] * u)
-    return t[0] + np.round(at).astype(np.int64), y
+    return t[0] + at.astype(np.int64), y
 
 
 # anomalies
@@ -233,101 +315,6 @@ def outlier(t, v, k=3, r=5.0, w=1000, s=500):
     return t[at], v[at]
 
 
-def missing_stretches(t, v, minlen=10):
-    """1 for points of stretches longer than minlen that lie on a line (R^2 above 0.9999), else 0."""
-    n, flags, a = len(v), np.zeros(len(v)), 0
-    linear = lambda x: len(x) < 3 or np.ptp(x) == 0 or np.corrcoef(np.arange(len(x)), x)[0, 1] ** 2 > 0.9999
-    while a + minlen <= n:
-        if not linear(v[a : a + minlen]):
-            a += 1
-            continue
-        b = a + minlen
-        while b < n and linear(v[a : b + 1]):
-            b += 1
-        if b - a > minlen:
-            flags[a:b] = 1
-        a = b
-    return t, flags
-
-
-def two_sided_filter(t, v, length=5, threshold=0.4):
-    """Points close to the mean of ``length`` neighbours on either side are kept."""
-    keep = []
-    for i in range(len(v)):
-        near = np.concatenate([v[max(0, i - length) : i], v[i + 1 : i + 1 + length]])
-        base = abs(near.mean()) if len(near) else 0
-        if not len(near) or abs(v[i] - near.mean()) <= threshold * max(base, 1e-300):
-            keep.append(i)
-    return t[keep], v[keep]
-
-
-# quality
-
-
-def _quality(t, v, downtime=True):
-    v = _lines(np.where(np.isinf(v), np.nan, v))
-    n = len(v)
-    step = np.diff(t).astype(float)
-    base = np.median(step) if len(step) else 0
-    miss = redundant = late = 0
-    kept = 0
-    for j in range(1, n):
-        gap = t[j] - t[kept]
-        if base and gap <= 0.5 * base:
-            redundant += 1
-            continue
-        if base and gap >= 2 * base and (not downtime or gap <= 9 * base):
-            miss += round(gap / base) - 1
-        elif base and 1.5 * base <= gap < 2 * base:
-            late += 1
-        kept = j
-    return n, miss, redundant, late, v
-
-
-def _parts(t, v, window):
-    size = window or len(v)
-    return [(t[k : k + size], v[k : k + size]) for k in range(0, len(v), size)]
-
-
-def completeness(t, v, window=None, downtime=True):
-    out = []
-    for a, x in _parts(t, v, window):
-        if len(x) > 10:
-            n, miss, *_ = _quality(a, x, downtime)
-            special = int((~np.isfinite(x)).sum())
-            out.append((a[0], 1 - (miss + special) / (n + miss)))
-    return [a for a, _ in out], [b for _, b in out]
-
-
-def consistency(t, v, window=None):
-    out = [(a[0], 1 - q[2] / q[0]) for a, x in _parts(t, v, window) if len(x) > 10 for q in [_quality(a, x)]]
-    return [a for a, _ in out], [b for _, b in out]
-
-
-def timeliness(t, v, window=None):
-    out = [(a[0], 1 - q[3] / q[0]) for a, x in _parts(t, v, window) if len(x) > 10 for q in [_quality(a, x)]]
-    return [a for a, _ in out], [b for _, b in out]
-
-
-def _beyond(x, k=3):
-    if len(x) < 2:
-        return 0
-    mid = np.median(x)
-    sigma = 1.4826 * np.median(np.abs(x - mid))
-    return int((np.abs(x - mid) > k * sigma).sum())
-
-
-def validity(t, v, window=None):
-    out = []
-    for a, x in _parts(t, v, window):
-        if len(x) > 10:
-            x = _lines(np.where(np.isinf(x), np.nan, x))
-            speed = np.diff(x) / np.maximum(np.diff(a), 1)
-            bad = _beyond(x) + _beyond(np.diff(x)) + _beyond(speed) + _beyond(np.diff(speed))
-            out.append((a[0], 1 - 0.25 * bad / len(x)))
-    return [a for a, _ in out], [b for _, b in out]
-
-
 # matching
 
 
@@ -348,89 +335,28 @@ def dtw(t, a, b):
     return [0], [float(last[n])]
 
 
-def ptnsym(t, v, window=10, threshold=math.inf):
-    """How far each window is from its mirror image, by aligning it with itself reversed."""
-    out = [(t[k], dtw(t, v[k : k + window], v[k : k + window][::-1])[1][0]) for k in range(len(v) - window + 1)]
-    out = [x for x in out if x[1] <= threshold]
-    return [a for a, _ in out], [b for _, b in out]
-
-
-# repair
-
-
-def timestamp_repair(t, v, interval=0, method="median"):
-    """Times on a regular grid near the given ones; steps without a point get a line's value."""
-    if method.lower() not in ("median", "mode"):
-        raise ValueError(f"no such method of repair: {method}")
-    if len(t) < 2:
-        return t, v
-    step = np.diff(t)
-    if not interval:
-        interval = int(np.median(step)) if method.lower() != "mode" else int(np.bincount(np.searchsorted(np.unique(step), step)).argmax())
-        if method.lower() == "mode":
-            interval = int(np.unique(step)[interval])
-    start = int(np.median(t - interval * np.round((t - t[0]) / interval).astype(np.int64)))
-    place = np.round((t - start) / interval).astype(np.int64)
-    _, first = np.unique(place, return_index=True)
-    grid = np.arange(place[first][0], place[first][-1] + 1)
-    return start + grid * interval, np.interp(grid, place[first], v[first])
-
-
-def screen(t, v, low=None, high=None):
-    """Repair by speed bounds: each point moves to the median of what its followers allow."""
-    if len(v) < 3:
-        return t, v
-    speed = np.diff(v) / np.diff(t)
-    mid, sigma = np.median(speed), 1.4826 * np.median(np.abs(speed - np.median(speed)))
-    low, high = mid - 3 * sigma if low is None else low, mid + 3 * sigma if high is None else high
-    width = 5 * np.median(np.diff(t))
-    out = v.copy()
-    for i in range(len(v)):
-        j = i + 1
-        while j < len(v) and t[j] - t[i] <= width:
-            j += 1
-        dt = t[i + 1 : j] - t[i]
-        allowed = np.concatenate([[out[i]], out[i + 1 : j] - high * dt, out[i + 1 : j] - low * dt])
-        x = np.median(allowed)
-        if i:
-            d = t[i] - t[i - 1]
-            x = min(max(x, out[i - 1] + low * d), out[i - 1] + high * d)
-        out[i] = x
-    return t, out
-
-
-def ls_greedy(t, v, center=0.0, sigma=None, rounds=10_000):
-    """The point of the largest change of speed moves until no change is beyond three deviations."""
-    out = v.copy()
-    if len(v) < 3:
-        return t, out
-    dt = np.diff(t).astype(float)
-    change = lambda: np.diff(np.diff(out) / dt)
-    if sigma is None:
-        u = change()
-        sigma = 1.4826 * np.median(np.abs(u - np.median(u)))
-    for _ in range(rounds):
-        u = change() - center
-        k = int(np.abs(u).argmax())
-        if abs(u[k]) <= 3 * sigma:
-            break
-        weight = 1 / dt[k] + 1 / dt[k + 1]
-        out[k + 1] += (u[k] - math.copysign(min(abs(u[k]), sigma), u[k])) / weight
-    return t, out
-
-
-def value_fill_ar(t, v, order=1):
-    """NaN filled by an autoregression over the values before it."""
-    out = v.copy()
-    good = v[~np.isnan(v)]
-    if len(good) < 2:
-        return t, out
-    mean = good.mean()
-    phi = _levinson(_autocorrelation(_lines(v), order), order)[0]
-    for i in np.flatnonzero(np.isnan(v)):
-        before = out[max(0, i - order) : i][::-1] - mean
-        out[i] = mean + (phi[: len(before)] * np.nan_to_num(before)).sum()
-    return t, out
+def ptnsym(t, v, window=10, threshold=math.inf, mirrored=False):
+    """How far each window is from being symmetric, at its first time; up to ``threshold``.
+
+    The distance that other engines give compares the ends of the window only.  With
+    ``mirrored`` it is the sum of squared differences along the best alignment of the window
+    with its mirror image, from the ends to the middle.
+    """
+    if len(v) < window:
+        return t[:0], v[:0]
+    parts = np.lib.stride_tricks.sliding_window_view(v, window)
+    if not mirrored:
+        score = (parts[:, 0] - parts[:, -1]) ** 2 if window > 1 else np.zeros(len(parts))
+    else:
+        # by length of the inner part: it costs its ends' difference and the best of the parts inside it
+        shorter, short = np.zeros((len(parts), window + 1)), np.zeros((len(parts), window))
+        for size in range(2, window + 1):
+            ends = (parts[:, : window - size + 1] - parts[:, size - 1 :]) ** 2
+            now = ends + np.minimum(np.minimum(short[:, 1 : window - size + 2], short[:, : window - size + 1]), shorter[:, 1 : window - size + 2])
+            shorter, short = short, now
+        score = short[:, 0]
+    keep = score <= threshold
+    return t[: len(parts)][keep], score[keep]
 
 
 # frequency
@@ -494,13 +420,20 @@ def idwt(t, v, method="haar", coef=None, layer=1):
 
 
 def fft(t, v, result="abs", compress=1.0):
-    """Real part, imaginary part, size or angle; ``compress`` keeps the lowest bins with that share of energy."""
+    """Real part, imaginary part, size or angle of each bin.
+
+    ``compress`` below 1 gives the lowest bins until they and their mirror images hold more than
+    that share of the energy, and the last bin.
+    """
     f = np.fft.fft(v)
+    at = np.arange(len(f))
     if compress < 1 and len(f):
-        energy = np.cumsum(np.abs(f[: len(f) // 2 + 1]) ** 2)
-        n = int(np.searchsorted(energy, compress * energy[-1])) + 1
-        f = f[:n]
-    return _index({"real": f.real, "imag": f.imag, "abs": np.abs(f), "angle": np.angle(f)}[result])
+        n, energy = len(f), np.abs(f) ** 2
+        inner = energy[0] + 2 * np.cumsum(energy[1 : n // 2 + 1])
+        last = min(int(np.searchsorted(inner, compress * energy.sum(), side="right")) + 1, n // 2)
+        at = np.append(np.arange(last + 1), n - 1)
+    f = f[at]
+    return at, {"real": f.real, "imag": f.imag, "abs": np.abs(f), "angle": np.angle(f)}[result]
 
 
 def ifft(t, re, im, interval=1_000_000, start=0):
@@ -550,11 +483,3 @@ def down_sample(t, v, interval=1):
             keep.append(i)
             last = x
     return t[keep], v[keep]
-
-
-def master_repair(t, *columns, master=(), k=3):
-    """The first column as the mean of the k master tuples nearest to the row."""
-    p, m = np.column_stack(columns), np.asarray(master, float)
-    d = ((p[:, None] - m[None]) ** 2).sum(-1)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return t, m[near].mean(1)[:, 0]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Duration
+from . import numeric, repair
 
 
 def _w(by: list[str], time: str = "time"):
@@ -79,6 +80,10 @@ def m4(df: DataFrame, value: str, interval, start: int, end: int, by: list[str],
     size = Duration(interval).micros
     rows = _points(df, value).where((F.col(time) >= start) & (F.col(time) < end))
     rows = rows.withColumn("__k", ((F.col(time) - start) - F.pmod(F.col(time) - start, F.lit(size))) / size)
+    return _four(rows, value, by, time)
+
+
+def _four(rows: DataFrame, value: str, by: list[str], time: str) -> DataFrame:
     p = F.struct(F.col(time).alias("time"), F.col(value).alias("value"))
     t, v = F.col(time), F.col(value)
     per = rows.groupBy(*by, "__k").agg(F.min_by(p, t).alias("f"), F.max_by(p, t).alias("l"), F.min_by(p, F.struct(v, t)).alias("b"), F.max_by(p, F.struct(v, -t)).alias("h"))
@@ -88,6 +93,16 @@ def m4(df: DataFrame, value: str, interval, start: int, end: int, by: list[str],
     return per.select(*by, F.explode(points).alias("x")).select(*by, "x.time", "x.value")
 
 
+def m4_by_count(df: DataFrame, value: str, size: int, by: list[str], time: str = "time", step: int | None = None) -> DataFrame:
+    """The same for windows of ``size`` rows every ``step`` rows; a point of several windows comes once for each."""
+    step = step or size
+    rows = _points(df, value).withColumn("__i", F.row_number().over(_w(by, time)) - 1)
+    first = F.greatest(F.lit(0), F.floor((F.col("__i") - size) / step) + 1)
+    rows = rows.withColumn("__k", F.explode(F.sequence(first.cast("long"), F.floor(F.col("__i") / step).cast("long"))))
+    rows = rows.where(F.col("__i") < F.col("__k") * step + size)
+    return _four(rows, value, by, time)
+
+
 def moving_average(df: DataFrame, value: str, window: int, by: list[str], time: str = "time") -> DataFrame:
     """The mean of each ``window`` values in a row, at the last one's time."""
     w = _w(by, time).rowsBetween(-(window - 1), 0)
@@ -159,7 +174,7 @@ def mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def percentile(df: DataFrame, value: str, rank: float, by: list[str], time: str = "time") -> DataFrame:
     """The point at place ceil(n * rank), counted from 0, in the order of values; the last one beyond."""
     rows = _points(df, value).withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value, time)) - 1)
-    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
     return rows.where(F.col("__i") == F.least(F.ceil(F.col("__n") * rank), F.col("__n") - 1)).select(*by, time, value)
 
 
@@ -188,8 +203,9 @@ def ksigma(df: DataFrame, value: str, k: float, window: int, by: list[str], time
     rows = _points(df, value).withColumn("__i", F.row_number().over(w))
     ring = w.rowsBetween(-(window - 1), 0)
     rows = rows.withColumns({"__a": F.avg(value).over(ring), "__s": F.stddev_samp(value).over(ring)})
-    first = rows.where(F.col("__i") == window).select(*by, F.col("__a").alias("__fa"), F.col("__s").alias("__fs"))
-    rows = rows.join(first, by)
+    # the first full window's values for all rows of its series, in the same partitions
+    whole, full = Window.partitionBy(*by), F.col("__i") == window
+    rows = rows.withColumns({"__fa": F.max(F.when(full, F.col("__a"))).over(whole), "__fs": F.max(F.when(full, F.col("__s"))).over(whole)})
     early = F.col("__i") <= window
     a, s = F.when(early, F.col("__fa")).otherwise(F.col("__a")), F.when(early, F.col("__fs")).otherwise(F.col("__s"))
     return rows.where(F.abs(F.col(value) - a) > k * s).select(*by, time, value)
@@ -207,13 +223,26 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.coalesce(F.corr(x, y), F.lit(float("nan"))).alias("pearson"))
 
 
+#: Rows of a series whose steps decide its gap.
+PROBE = 128
+
+
+def usual_gap(df: DataFrame, by: list[str], time: str = "time") -> DataFrame:
+    """The most frequent step among the first rows of each series, the shortest of equals."""
+    w = _w(by, time)
+    steps = df.select(*by, (F.col(time) - F.lag(time).over(w)).alias("gap"), F.row_number().over(w).alias("__i")).where((F.col("__i") <= PROBE) & F.col("gap").isNotNull())
+    counts = steps.groupBy(*by, "gap").agg(F.count("*").alias("__n"))
+    return counts.groupBy(*by).agg(F.max_by("gap", F.struct("__n", -F.col("gap"))).alias("gap"))
+
+
 def consecutive(df: DataFrame, values: list[str], gap, by: list[str], time: str = "time") -> DataFrame:
-    """Rows without nulls in runs at steps of ``gap``, with the run's number."""
+    """Rows without nulls in runs at steps of ``gap`` (``usual_gap`` if it is None), with the run's number and ``gap``."""
     full = F.lit(True)
     for v in values:
         full &= F.col(v).isNotNull()
+    df = df.withColumn("gap", F.lit(Duration(gap).micros)) if gap is not None else df.join(usual_gap(df, by, time), by)
     rows, w = df.where(full), _w(by, time)
-    new = F.when(F.col(time) - F.lag(time).over(w) == Duration(gap).micros, 0).otherwise(1)
+    new = F.when(F.col(time) - F.lag(time).over(w) == F.col("gap"), 0).otherwise(1)
     return rows.withColumn("__n", new).withColumn("run", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__n")
 
 
@@ -224,9 +253,9 @@ def consecutive_sequences(df: DataFrame, values: list[str], gap, by: list[str],
 
 def consecutive_windows(df: DataFrame, values: list[str], gap, length: int, by: list[str], time: str = "time") -> DataFrame:
     """First times of all windows of ``length`` rows that lie in one run."""
-    seq = consecutive(df, values, gap, by, time).groupBy(*by, "run").agg(F.min(time).alias("__t"), F.count("*").alias("__n")).where(F.col("__n") >= length)
+    seq = consecutive(df, values, gap, by, time).groupBy(*by, "run").agg(F.min(time).alias("__t"), F.max("gap").alias("__g"), F.count("*").alias("__n")).where(F.col("__n") >= length)
     starts = F.sequence(F.lit(0).cast("long"), F.col("__n") - length)
-    return seq.select(*by, F.explode(F.transform(starts, lambda i: F.col("__t") + i * Duration(gap).micros)).alias("time"), F.lit(length).alias("length"))
+    return seq.select(*by, F.explode(F.transform(starts, lambda i: F.col("__t") + i * F.col("__g"))).alias("time"), F.lit(length).alias("length"))
 
 
 def resample(df: DataFrame, value: str, every, start: int, end: int, by: list[str], time: str = "time", aggr: str = "mean", interp: str = "nan") -> DataFrame:
@@ -250,7 +279,12 @@ def resample(df: DataFrame, value: str, every, start: int, end: int, by: list[st
 
 
 def value_fill(df: DataFrame, value: str, by: list[str], time: str = "time", method: str = "linear") -> DataFrame:
-    """NaN replaced: by the value before, the mean, or a line over row numbers (the last value after the end)."""
+    """NaN replaced: by the value before, the mean, or a line over row numbers (the last value after the end).
+
+    Further methods (``repair.FILLS``) follow each series in one task.
+    """
+    if method in repair.FILLS:
+        return numeric.apply(df, repair.FILLS[method], value, by, time)
     if method not in ("linear", "mean", "previous"):
         raise ValueError(f"no such method of filling: {method}")
     w = _w(by, time)
@@ -272,7 +306,7 @@ def value_fill(df: DataFrame, value: str, by: list[str], time: str = "time", met
 def sample_isometric(df: DataFrame, value: str, k: int, by: list[str], time: str = "time") -> DataFrame:
     """Points at places floor(i * n / k)."""
     rows = _points(df, value).withColumn("__i", F.row_number().over(_w(by, time)) - 1)
-    rows = rows.join(rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
     places = F.when(F.col("__n") <= k, F.array(F.col("__i").cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("__n") / k)))
     return rows.where(F.array_contains(places, F.col("__i").cast("long"))).select(*by, time, value)
 

@@ -7,13 +7,13 @@ per series; the long form one row per point.  Paths are dot-separated under ``ro
 from __future__ import annotations
 
 import re
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPOCH = datetime(1970, 1, 1)
-UNITS = {"ns": 0.001, "us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 7 * 86_400_000_000}
+UNITS = {"us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 7 * 86_400_000_000}
 
 
 def micros(ts: Column) -> Column:
@@ -21,10 +21,23 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts)
 
 
+def ts_between(column: str, first: int | None = None, last: int | None = None) -> Column:
+    """The same bounds on a timestamp column as on its microseconds, ends included.
+
+    Literals of the column's own type reach the Parquet reader, which skips row groups by them.
+    """
+    at = lambda us: F.lit(EPOCH + timedelta(microseconds=us)).cast("timestamp_ntz")
+    low = F.lit(True) if first is None else F.col(column) >= at(first)
+    return low if last is None else low & (F.col(column) <= at(last))
+
+
 def instant(text: str | int | datetime) -> int:
-    """A date literal (ISO, slashes or dots, with or without an offset) as microseconds."""
+    """A date literal (ISO, slashes or dots, with or without an offset, or now() plus or less a duration) as microseconds."""
     if isinstance(text, int):
         return text
+    if isinstance(text, str) and (m := re.fullmatch(r"now\(\)\s*(?:([+-])\s*(\w+))?", text.strip(), re.I)):
+        now = instant(datetime.now(UTC))
+        return now if m[1] is None else Duration(m[2]).after(now, 1 if m[1] == "+" else -1)
     if isinstance(text, str):
         text = datetime.fromisoformat(re.sub(r"^(\d+)[/.](\d+)[/.](\d+)", r"\1-\2-\3", text.strip()))
     if text.tzinfo is not None:
@@ -45,10 +58,14 @@ class Duration:
         if "".join(a + b for a, b in parts) != text.lower() or not parts:
             raise ValueError(f"not a duration: {text}")
         for n, unit in parts:
-            if unit in ("y", "mo"):
+            if unit == "ns":
+                if int(n) % 1000:
+                    raise ValueError(f"times are whole microseconds: {text}")
+                self.micros += int(n) // 1000
+            elif unit in ("y", "mo"):
                 self.months += int(n) * (12 if unit == "y" else 1)
             else:
-                self.micros += int(int(n) * UNITS[unit])
+                self.micros += int(n) * UNITS[unit]
 
     def after(self, start: int, times: int = 1) -> int:
         """``start`` plus this duration ``times`` over; the day is that of ``start`` where the month has it."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import scalar as SC
 from ..functions import series as SE
-from ..model import match_path, micros, to_long, to_wide
+from ..model import instant, match_path, micros, to_long, to_wide, ts_between
 from ..operators import aggregates as A
 from ..operators import fill as FI
 from ..operators import shape as SH
@@ -46,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series table; ``v`` is ``value`` with nulls below 20."""
+def events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The series table; ``v`` is ``value`` with nulls below 20.  Bounds on time, ends included, reach the reader."""
     e = table(spark, sf_dir, "events")
+    if first is not None or last is not None:
+        e = e.where(ts_between("ts", first, last))
     return e.select("event_id", "user_id", "event_type", micros(F.col("ts")).alias("time"), "value", F.when(F.col("value") >= 20, F.col("value")).alias("v"), "props")
 
 
@@ -75,7 +77,7 @@ a AS (SELECT event_type, (time - {S}) // {HOUR} AS k, count(v) AS n, round(avg(v
 j AS (SELECT w.event_type, {S} + w.k * {HOUR} AS time, coalesce(n, 0) AS n, mean, last FROM w LEFT JOIN a USING (event_type, k))
 SELECT event_type, time, n, last_value(mean IGNORE NULLS) OVER o AS mean, last_value(last IGNORE NULLS) OVER o AS last FROM j WINDOW o AS (PARTITION BY event_type ORDER BY time)""")
 def downsample_fill(spark, d):
-    e = events(spark, d)
+    e = events(spark, d, S, E)
     aggs = [A.count("v").alias("n"), r(A.avg("v")).alias("mean"), A.last_value("v").alias("last")]
     grid = W.group_by_time(e, START, END, "1h", aggs, by=["event_type"], zero=("n",))
     return FI.fill_previous(grid, ["mean", "last"], [F.col("time")], by=["event_type"])
@@ -86,7 +88,7 @@ def downsample_fill(spark, d):
 
 @query(f"WITH {EV} SELECT event_id, time, value FROM ev WHERE time BETWEEN {S + DAY} AND {S + 3 * DAY}")
 def time_range(spark, d):
-    return events(spark, d).where(F.col("time").between(S + DAY, S + 3 * DAY)).select("event_id", "time", "value")
+    return events(spark, d, S + DAY, S + 3 * DAY).where(F.col("time").between(S + DAY, S + 3 * DAY)).select("event_id", "time", "value")
 
 
 @query(f"WITH {EV} SELECT event_id, time FROM ev WHERE time NOT BETWEEN {S + DAY} AND {S + 29 * DAY}")
@@ -119,7 +121,7 @@ def null_filter(spark, d):
 
 @query(f"WITH {EV} SELECT event_id, time FROM ev WHERE time >= {S + DAY} AND time < {S + 20 * DAY} AND (time - {S + DAY}) % {6 * HOUR} < {HOUR}")
 def group_by_filter(spark, d):
-    return events(spark, d).where(W.group_by_filter(F.col("time"), S + DAY, S + 20 * DAY, "1h", "6h")).select("event_id", "time")
+    return events(spark, d, S + DAY, S + 20 * DAY).where(W.group_by_filter(F.col("time"), S + DAY, S + 20 * DAY, "1h", "6h")).select("event_id", "time")
 
 
 @query(f"WITH {EV} SELECT event_id, value + 1 AS plus, value - user_id AS minus, value * 2 AS times, value / nullif(user_id % 3, 0) AS divided, CASE WHEN user_id % 3 = 0 THEN NULL ELSE value % (user_id % 3) END AS rest FROM ev")
@@ -209,7 +211,7 @@ SELECT w.event_type, w.{"b" if left_open else "a"}::BIGINT AS time, count(value)
 
 
 def _by_time(spark, d, *args, **more):
-    return W.group_by_time(events(spark, d), *args, [A.count("value").alias("n"), F.max("value").alias("high")], by=["event_type"], zero=("n",), **more)
+    return W.group_by_time(events(spark, d, instant(args[0]), instant(args[1])), *args, [A.count("value").alias("n"), F.max("value").alias("high")], by=["event_type"], zero=("n",), **more)
 
 
 @query(windows_sql(S, E, HOUR, HOUR))
@@ -237,7 +239,7 @@ SELECT epoch_us(a) AS time, count(o_orderkey) AS n, round(sum(o_totalprice), 2)
 
 
 def _months(spark, d, start, end, interval, step=None):
-    o = table(spark, d, "orders").select(micros(F.col("o_orderdate")).alias("time"), "o_totalprice")
+    o = table(spark, d, "orders").where(ts_between("o_orderdate", instant(start), instant(end))).select(micros(F.col("o_orderdate")).alias("time"), "o_totalprice")
     return W.group_by_time(o, start, end, interval, [F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total")], step=step, zero=("n",))
 
 
@@ -276,7 +278,7 @@ def window_variation_equal(spark, d):
 
 @query(f"WITH RECURSIVE {EV}, n AS (SELECT user_id, time, value, row_number() OVER (PARTITION BY user_id ORDER BY time) AS i FROM ev), f AS (SELECT user_id, time, value, i, value AS head, 0 AS w FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.time, n.value, n.i, CASE WHEN abs(n.value - f.head) > 30 THEN n.value ELSE f.head END, CASE WHEN abs(n.value - f.head) > 30 THEN f.w + 1 ELSE f.w END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1) SELECT user_id, min(time) AS time, max(time) AS end_time, count(*) AS rows FROM f GROUP BY user_id, w")
 def window_variation_delta(spark, d):
-    return W.group_by_variation(events(spark, d), "value", 30, [F.count("*").alias("rows")], ["user_id"])
+    return W.group_by_variation(events(spark, d), "value", 30, [F.count("*").alias("rows")], ["user_id"], columns=[])
 
 
 # fill
@@ -293,12 +295,12 @@ def _grid(spark, d):
 
 @query(f"WITH {EV}, {GRID} SELECT event_type, time, n, last_value(high IGNORE NULLS) OVER (ORDER BY event_type, time) AS high FROM grid")
 def fill_previous(spark, d):
-    return FI.fill_previous(_grid(spark, d), ["high"], [F.col("event_type"), F.col("time")])
+    return FI.fill_previous(_grid(spark, d), ["high"], [F.col("event_type"), F.col("time")], block="event_type")
 
 
 @query(f"WITH {EV}, {GRID} SELECT event_type, time, n, last_value(high IGNORE NULLS) OVER (ORDER BY event_type DESC, time DESC) AS high FROM grid")
 def fill_previous_desc(spark, d):
-    return FI.fill_previous(_grid(spark, d), ["high"], [F.col("event_type").desc(), F.col("time").desc()])
+    return FI.fill_previous(_grid(spark, d), ["high"], [F.col("event_type").desc(), F.col("time").desc()], block="event_type")
 
 
 @query(f"WITH {EV}, {GRID}, x AS (SELECT *, last_value(high IGNORE NULLS) OVER o AS p, last_value(CASE WHEN high IS NOT NULL THEN time END IGNORE NULLS) OVER o AS q FROM grid WINDOW o AS (PARTITION BY event_type ORDER BY time)) SELECT event_type, time, n, CASE WHEN time - q <= {2 * HOUR} THEN p END AS high FROM x")
@@ -566,16 +568,6 @@ def acf(spark, d):
     return rounded(N.apply(daily(spark, d), N.acf, "value", ["event_type"]), "value")
 
 
-@query(f"WITH {EV}, {DAILY} SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY time) - 1) AS time, round(value, 6) AS value FROM daily QUALIFY count(*) OVER (PARTITION BY event_type) = 30 AND row_number() OVER (PARTITION BY event_type ORDER BY time) <= 16")
-def dwt_round_trip(spark, d):
-    def both(t, v):
-        if len(v) != 30:
-            return [], []
-        return N.idwt(t, N.dwt(t, v[:16], "db4", layer=2)[1], "db4", layer=2)
-
-    return rounded(N.apply(daily(spark, d), both, "value", ["event_type"]), "value", n=6)
-
-
 @query(f"WITH {EV} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS time, round(value, 6) AS value FROM ev")
 def dwt_round_trip_events(spark, d):
     """Whole series of any length: the last value is repeated up to a power of two."""
@@ -597,26 +589,6 @@ def fft_round_trip(spark, d):
     return rounded(N.apply(daily(spark, d), both, "value", ["event_type"]), "value", n=6)
 
 
-def _numeric(name, function, value="value", by=("event_type",), source=daily, **parameters):
-    def run(spark, d):
-        return rounded(N.apply(source(spark, d), function, value, list(by), **parameters), "value", n=6)
-
-    QUERIES[name] = run
-
-
-for _name, _f, _p in (
-    ("pacf", N.pacf, {}), ("ar", N.ar, {"p": 2}), ("period", N.period, {}), ("qlb", N.qlb, {"lag": 5}), ("lof", N.lof, {}), ("lof_series", N.lof_series, {}), ("segment", N.segment, {"error": 5.0}), ("spline", N.spline, {"points": 20}),
-    ("sample_triangle", N.sample_triangle, {"k": 9}), ("missing_stretches", N.missing_stretches, {}), ("two_sided_filter", N.two_sided_filter, {}), ("completeness", N.completeness, {}), ("consistency", N.consistency, {}),
-    ("timeliness", N.timeliness, {}), ("validity", N.validity, {}), ("ptnsym", N.ptnsym, {}), ("timestamp_repair", N.timestamp_repair, {}), ("value_repair_screen", N.screen, {}), ("value_repair_lsgreedy", N.ls_greedy, {}),
-    ("lowpass", N.lowpass, {}), ("highpass", N.highpass, {}), ("fft_abs", N.fft, {}), ("swing_door", N.swing_door, {"deviation": 5.0}),
-):
-    _numeric(_name, _f, **_p)
-    # the same over every event of each user: many series, of unlike lengths and with uneven steps
-    _numeric(f"{_name}_events", _f, by=("user_id",), source=events, **_p)
-_numeric("acf_events", N.acf, by=("user_id",), source=events)
-_numeric("outlier", N.outlier, by=("user_id",), source=events, k=3, r=5.0, w=20, s=10)
-
-
 @query(f"WITH RECURSIVE {EV}, {DAILY}, p AS (SELECT time, max(value) FILTER (event_type = 'click') AS a, max(value) FILTER (event_type = 'purchase') AS b FROM daily GROUP BY time), s AS (SELECT a, b, row_number() OVER (ORDER BY time) AS i FROM p WHERE a IS NOT NULL AND b IS NOT NULL), z AS (SELECT count(*)::INT AS n FROM s), l AS (SELECT list(a ORDER BY i) AS a, list(b ORDER BY i) AS b FROM s), f AS (SELECT 1 AS i, list_transform(range(1, n + 1), lambda j: list_sum(list_transform(range(1, j + 1), lambda q: abs(l.a[1] - l.b[q])))) AS row FROM l, z UNION ALL SELECT f.i + 1, list_reduce(list_transform(range(1, n + 1), lambda j: [abs(l.a[f.i + 1] - l.b[j]), f.row[j], CASE WHEN j > 1 THEN f.row[j - 1] ELSE 1e300 END]), lambda acc, x: list_append(acc, x[1] + least(x[2], x[3], acc[len(acc)])), [1e300])[2:] FROM f, l, z WHERE f.i < n) SELECT 'all' AS device, 0::BIGINT AS time, round(row[n], 4) AS value FROM f, z WHERE f.i = n")
 def dtw(spark, d):
     w = to_wide(daily(spark, d).withColumnRenamed("event_type", "series"), ["click", "purchase"]).withColumn("device", F.lit("all"))
@@ -638,6 +610,8 @@ def delete_range(spark, d):
 
 @query(f"WITH {EV} SELECT event_id FROM ev WHERE time >= {E - 7 * DAY}")
 def ttl(spark, d):
-    return store.within_ttl(events(spark, d), E, "7d").select("event_id")
+    return store.within_ttl(events(spark, d, E - 7 * DAY), E, "7d").select("event_id")
 
 
+# further queries register themselves
+from . import more  # noqa: E402, F401

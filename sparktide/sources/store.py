@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,28 @@ def within_ttl(df: DataFrame, now: int, ttl, time: str = "time") -> DataFrame:
     return df.where(F.col(time) >= now - Duration(ttl).micros)
 
 
+def target_path(source: str, template: str) -> str:
+    """``${n}`` is level n of the source's path, ``::`` its last one."""
+    parts = source.split(".")
+    return re.sub(r"\$\{(\d+)\}", lambda m: parts[int(m[1])], template).replace("::", parts[-1])
+
+
+def into_targets(result: DataFrame, targets: dict[str, str], existing: DataFrame | None = None, time: str = "time") -> DataFrame:
+    """Points (device, time, measurement, value) of a wide result under their target paths, written over those there.
+
+    ``targets`` has a path for each column, in which levels of the column's own path may stand.
+    """
+    paths = {c: target_path(c, t) for c, t in targets.items()}
+    if len(set(paths.values())) < len(paths):
+        raise ValueError("two columns have the same target")
+    cells = [F.struct(F.lit(p.rpartition(".")[0]).alias("device"), F.lit(p.rpartition(".")[2]).alias("measurement"), F.col(f"`{c}`").cast("double").alias("value")) for c, p in paths.items()]
+    new = result.select(F.col(time).alias("time"), F.explode(F.array(*cells)).alias("x")).select("x.device", "time", "x.measurement", "x.value").where("value is not null")
+    if existing is None:
+        return new
+    both = existing.select("device", "time", "measurement", "value", F.lit(0).alias("__v")).unionByName(new.withColumn("__v", F.lit(1)))
+    return upsert(both, ["device", "time", "measurement"], "__v").drop("__v")
+
+
 def select_into(df: DataFrame, path: str, device: str = "device", mode: str = "append") -> None:
     """Append a result to its target, partitioned by device so that later reads prune."""
     df.write.mode(mode).partitionBy(device).parquet(path)

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktide.functions import numeric as N
+from sparktide.functions import quality as Q
 from sparktide.functions import registry, scalar, series
+from sparktide.functions import repair as R
 from sparktide.model import Duration, instant, path_regex, to_narrow
 from sparktide.operators import aggregates, fill, shape, windows
 from sparktide.sources import store
@@ -131,14 +133,14 @@ def test_numeric_definitions():
     assert abs(N._gamma_q(1.0, 2.0) - np.exp(-2)) < 1e-12 and abs(N._gamma_q(2.5, 0.5) - 0.9625657732472964) < 1e-9
     y = N.spline(t, v, 8)[1]
     assert np.allclose(y, v)
-    rt, rv = N.timestamp_repair(np.array([0, 101, 199, 400]), np.array([0.0, 1, 2, 4]))
-    assert len(rt) == 5 and np.allclose(rv, [0, 1, 2, 3, 4])
+    rt, rv = R.timestamp_repair(np.array([0, 101, 199, 400]) * 1000, np.array([0.0, 1, 2, 4]))
+    assert rt.tolist() == [0, 101_000, 202_000, 303_000, 404_000] and np.array_equal(rv, [0, 1, 2, np.nan, 4], equal_nan=True)
     assert N.outlier(np.arange(9), np.array([1.0, 1, 1, 9, 1, 1, 1, 1, 1]), k=2, r=1, w=4, s=2)[0].tolist() == [3]
     assert N.down_sample(np.array([0, 3, 5, 9, 12]), np.arange(5.0), 5)[0].tolist() == [0, 5, 12]
-    assert N.master_repair(t[:1], np.array([1.0]), np.array([1.0]), master=[(1, 1), (9, 9)], k=1)[1].tolist() == [1.0]
+    assert R.master_repair(t[:1], np.array([1.0]), np.array([1.0]), master=[(1, 1), (9, 9)], k=1)[1].tolist() == [1.0]
     flat = np.concatenate([np.random.default_rng(0).random(20), np.arange(20.0)])
-    assert N.missing_stretches(np.arange(40), flat)[1][22:].all()
-    assert np.allclose(N.value_fill_ar(np.arange(5), np.array([1.0, 2, np.nan, 4, 5]))[1][[0, 4]], [1, 5])
+    assert Q.missing_stretches(np.arange(40), flat)[1][22:].all()
+    assert np.allclose(R.fill_ar(np.arange(5), np.array([5.0, 2, np.nan, 4, 1]))[1][[0, 4]], [5, 1])
 
 
 def test_registry(spark):
