@@ -238,7 +238,9 @@ def components(docs: DataFrame, shingle: int, bits: int, radius: int, per_key: i
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.keep(map_frames(keyed(docs), _prints(shingle, bits, False), PRINT), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
-    return prints, _named(classes, stars(ws, links(ws, classes.select("fp", "size"), bits, radius, per_key, count, None, bucket)))
+    roots = stars(ws, links(ws, classes.select("fp", "size"), bits, radius, per_key, count, None, bucket))
+    ws.drop("met")
+    return prints, _named(classes, roots)
 
 
 def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -453,7 +455,9 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = members.join(roots, members.fp == roots.node, "left").join(sets.select("fp", "sketch"), "fp").select("fp", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root"), longer)
     second = ws.keep(meet(grouped, None).join(first, ["a", "b"], "left_anti"), "second")
     every = ws.keep(linked.unionByName(alike(second)), "every")
-    return prints, _named(classes, stars(Workspace(spark, "near"), every))
+    roots = stars(Workspace(spark, "near"), every)
+    ws.drop("first", "members", "sets", "linked", "second", "every")
+    return prints, _named(classes, roots)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
