@@ -72,4 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = ws.keep(docs, f"stage{k}")
+            if k:
+                ws.drop(f"stage{k - 1}")
     return docs
