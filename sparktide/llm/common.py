@@ -153,29 +153,37 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     while lo < len(joined):
         hi = min(len(joined), lo + _CHUNK)
         # a chunk ends behind a space; a word longer than a chunk makes a longer one
-        while hi < len(joined) and not _is_space(joined[hi - 1 : hi])[0]:
-            back = np.flatnonzero(_is_space(joined[lo:hi]))
+        while hi < len(joined) and not is_space(joined[hi - 1 : hi])[0]:
+            back = np.flatnonzero(is_space(joined[lo:hi]))
             hi = lo + int(back[-1]) + 1 if len(back) else min(len(joined), hi + _CHUNK)
         part = joined[lo:hi]
-        space = _is_space(part)
+        space = is_space(part)
         first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         if len(first):
             at = np.arange(first[0], len(part)) - np.repeat(first, np.diff(np.append(first, len(part))))
             tail = part[first[0] :]
-            value = _PLACES[np.minimum(at, 63) << 8 | tail]
-            far = np.flatnonzero(at >= 64)
-            if len(far):
-                with np.errstate(over="ignore"):
-                    value[far] = _mixed(at[far].astype(np.uint64) * _PLACE + tail[far] * _BYTE)
-            value[space[first[0] :]] = 0
-            parts.append(np.add.reduceat(value, first - first[0]))
+            parts.append(hash_words(tail, at, first - first[0], space[first[0] :]))
             starts_of.append(first + lo)
         lo = hi
     hashes, starts = (np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.int64), *starts_of]))
-    return _mixed(hashes), np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))) if len(sizes) else sizes
+    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))) if len(sizes) else sizes
 
 
-def _is_space(b: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, at: np.ndarray, begin: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of words that begin at ``begin``; ``at`` is each byte's place in its word, ``skip`` bytes don't count."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    value = _PLACES[np.minimum(at, 63) << 8 | data]
+    far = np.flatnonzero(at >= 64)
+    if len(far):
+        with np.errstate(over="ignore"):
+            value[far] = _mixed(at[far].astype(np.uint64) * _PLACE + data[far] * _BYTE)
+    if skip is not None:
+        value[skip] = 0
+    return _mixed(np.add.reduceat(value, begin))
+
+
+def is_space(b: np.ndarray) -> np.ndarray:
     return (b == 32) | ((b - np.uint8(9)) < 5)
 
 

@@ -2,8 +2,8 @@
 
 Base patterns find e-mail and IP addresses, cards and phone numbers.  These seed a bootstrap
 over the whole corpus.  A lexical pattern is what stands around a slot: the word before it, the
-two words before it, or the words on both sides, in lower case, without punctuation at their
-ends and with all digits alike.
+two words before it, or the words on both sides, A-Z in lower case, without punctuation at
+their ends and with all digits alike.
 
 1.  Patterns around at least ``SUPPORT`` different seeds are candidates.
 2.  One scan counts how often each of them has anything in its slot, and how often a seed;
@@ -22,14 +22,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, free_name, keyed, map_frames, row_key, table
+from .common import Workspace, free_name, hash_words, is_space, keyed, map_frames, row_key, spread, table
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,10 +47,13 @@ SUPPORT, CONFIDENCE, SCORE = 5, 0.8, 0.95
 FLOOR = 0.1
 #: Patterns that one scan of the texts looks for; more take more scans.
 PATTERNS = 100_000
-SPLIT = str.maketrans({":": " ", "=": " "})
-WORD = re.compile(r"\S+")
-EDGES = ".,;!?\"'()[]{}<>*#$%&|-"
-DIGIT = re.compile(r"[0-9]")
+#: Characters of text whose words are cut together.
+CHUNK = 1 << 18
+EDGES = b".,;!?\"'()[]{}<>*#$%&|-"
+#: Bytes as patterns have them: A-Z in lower case, all digits alike, and words cut at ``:`` and ``=`` too.
+PLAIN = bytes(32 if c in b":=" else 48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+IS_EDGE = np.isin(np.arange(256), np.frombuffer(EDGES, np.uint8))
+TELLING = re.compile(rb"[0-9@]")
 #: Discovered spans are broadcast only when there are at most so many.
 BROADCAST_ROWS = 100_000
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -92,95 +96,126 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-class Words(dict):
-    """Words as patterns have them, remembered as far as memory allows."""
-
-    def __missing__(self, word: str) -> str:
-        got = DIGIT.sub("0", word.strip(EDGES).lower()) or word
-        if len(self) < 200_000:
-            self[word] = got
-        return got
-
-
-class Text:
-    """Words of a text, and its base spans and the places of words once they are needed."""
-
-    def __init__(self, text: str, known: Words, spans: list[Span] | None = None):
-        self.text, self.cut = text, text.translate(SPLIT)
-        self.words = self.cut.split()
-        self.norms = list(map(known.__getitem__, self.words))
-        self._places, self._spans, self._base = None, None, spans
-
-    @property
-    def places(self) -> list[tuple[int, int]]:
-        if self._places is None:
-            self._places = [m.span() for m in WORD.finditer(self.cut)]
-        return self._places
-
-    @property
-    def spans(self) -> list[tuple[int, int]]:
-        """Base spans, of any kind, those that overlap joined."""
-        if self._spans is None:
-            self._spans = []
-            for _, s, e in sorted(base_spans(self.text) if self._base is None else self._base, key=lambda x: x[1:]):
-                if self._spans and s < self._spans[-1][1]:
-                    self._spans[-1] = (self._spans[-1][0], max(e, self._spans[-1][1]))
-                else:
-                    self._spans.append((s, e))
-        return self._spans
-
-    def seed(self, i: int) -> tuple[int, int] | None:
-        """The base span that word ``i`` belongs to."""
-        if "@" not in self.words[i] and not DIGIT.search(self.words[i]):
-            return None
-        a, b = self.places[i]
-        k = bisect_right(self.spans, (b - 1, len(self.text))) - 1
-        return self.spans[k] if k >= 0 and self.spans[k][1] > a else None
+def cut(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, without edge characters, unless it has no others."""
+    b = np.frombuffer(plain, np.uint8)
+    space = is_space(b)
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    last = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    start, end = first.copy(), last.copy()
+    for side, step in ((start, 1), (end, -1)):
+        at = np.arange(len(side))
+        while len(at):
+            at = at[(start[at] < end[at]) & IS_EDGE[b[np.minimum(side[at] - (step < 0), len(b) - 1)]]]
+            side[at] += step
+    bare = start >= end
+    start[bare], end[bare] = first[bare], last[bare]
+    parts = [np.zeros(0, np.uint64)]
+    # a slice of words at a time: the places of bytes are wide
+    for k in range(0, len(start), 1 << 15):
+        sizes = end[k : k + (1 << 15)] - start[k : k + (1 << 15)]
+        place = spread(sizes)
+        parts.append(hash_words(b[np.repeat(start[k : k + (1 << 15)], sizes) + place], place, np.cumsum(sizes) - sizes))
+    return start, end, np.concatenate(parts)
+
+
+def word_hash(words: Iterable[str]) -> np.ndarray:
+    """Hashes of words that are as patterns have them."""
+    return np.array([cut(w.encode())[2][0] for w in words], np.uint64)
+
+
+def joined_spans(spans: Iterable[Span]) -> list[tuple[int, int]]:
+    """Spans of any kind, those that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+class Chunk:
+    """Words of some texts, joined; places are bytes of the whole."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, raws = texts, [t.encode() for t in texts]
+        self.raw = b" ".join([*raws, b""])
+        self.begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)])
+        self.plain = self.raw.translate(PLAIN)
+        self.start, self.end, self.hash = cut(self.plain)
+        self.own = np.searchsorted(self.begin, self.start, side="right") - 1
+        self._spans: dict[int, list[tuple[int, int]]] = {}
+
+    def norm(self, i: int) -> str:
+        return self.plain[self.start[i] : self.end[i]].decode()
+
+    def spans(self, text: int, base: list[Span] | None = None) -> list[tuple[int, int]]:
+        """Base spans of a text."""
+        if text not in self._spans:
+            t, at, done, out = self.texts[text], int(self.begin[text]), 0, []
+            for s, e in joined_spans(base_spans(t) if base is None else base):
+                a = at + len(t[done:s].encode())
+                at = a + len(t[s:e].encode())
+                done = e
+                out.append((a, at))
+            self._spans[text] = out
+        return self._spans[text]
+
+    def chars(self, text: int, place: int) -> int:
+        return len(self.raw[self.begin[text] : place].decode())
 
     def contexts(self, i: int, after: int) -> list[str]:
         """Patterns of the slot of words ``i`` up to ``after``."""
-        n = self.norms
-        out = [f"{n[i - 1]} _"] if i else []
-        if i > 1:
-            out.append(f"{n[i - 2]} {n[i - 1]} _")
-        if i and after < len(n):
-            out.append(f"{n[i - 1]} _ {n[after]}")
+        own, n, out = self.own, self.norm, []
+        if i and own[i - 1] == own[i]:
+            left = n(i - 1)
+            out.append(f"{left} _")
+            if i > 1 and own[i - 2] == own[i]:
+                out.append(f"{n(i - 2)} {left} _")
+            if after < len(own) and own[after] == own[i]:
+                out.append(f"{left} _ {n(after)}")
         return out
 
     def slot(self, i: int) -> tuple[int, int, bool, int]:
         """Start, end, whether a seed fills it, and the word after it, of the slot that begins with word ``i``."""
-        span = self.seed(i)
-        if span is None:
-            a, b = self.places[i]
-            raw = self.text[a:b]
-            core = raw.strip(EDGES) or raw
-            a += raw.index(core)
-            return a, a + len(core), False, i + 1
-        after = i + 1
-        while after < len(self.words) and self.places[after][0] < span[1]:
-            after += 1
-        return *span, True, after
-
-    def seeds(self) -> list[tuple[int, int, list[str]]]:
-        out, i = [], 0
-        for s, e in self.spans:
-            while i < len(self.places) and self.places[i][1] <= s:
-                i += 1
-            after = i
-            while after < len(self.places) and self.places[after][0] < e:
-                after += 1
-            out.append((s, e, self.contexts(i, after)))
-        return out
-
-    def slots(self, patterns: set[str], left: set[str]) -> Iterator[tuple[int, list[str]]]:
-        """Words in slots of given patterns, whose words before a slot are ``left``, with those patterns."""
-        n = self.norms
-        for i in [k + 1 for k, w in enumerate(n) if w in left]:
-            if i < len(n):
-                after = self.slot(i)[3] if "@" in self.words[i] or DIGIT.search(self.words[i]) else i + 1
-                met = [c for c in self.contexts(i, after) if c in patterns]
-                if met:
-                    yield i, met
+        a, b = int(self.start[i]), int(self.end[i])
+        if TELLING.search(self.raw, a, b):
+            spans = self.spans(int(self.own[i]))
+            k = bisect_right(spans, (b - 1, len(self.raw))) - 1
+            if k >= 0 and spans[k][1] > a:
+                return *spans[k], True, int(np.searchsorted(self.start, spans[k][1]))
+        return a, b, False, i + 1
+
+    def seeds(self, text: int, base: list[Span]) -> Iterator[tuple[str, str]]:
+        """(pattern, instance) of all base spans of a text."""
+        for s, e in self.spans(text, base):
+            i = int(np.searchsorted(self.end, s, side="right"))
+            instance = self.raw[s:e].decode()
+            for c in self.contexts(i, int(np.searchsorted(self.start, e))):
+                yield c, instance
+
+    def slots(self, patterns: set[str], left: np.ndarray) -> Iterator[tuple[int, tuple[int, int, bool, int], list[str]]]:
+        """Slots of given patterns, the words before which have the hashes ``left``."""
+        hits = np.flatnonzero(np.isin(self.hash[:-1], left) & (self.own[1:] == self.own[:-1])) + 1
+        for i in hits.tolist():
+            slot = self.slot(i)
+            met = [c for c in self.contexts(i, slot[3]) if c in patterns]
+            if met:
+                yield i, slot, met
+
+
+def chunks(texts: Iterable[str]) -> Iterator[tuple[int, Chunk]]:
+    """Chunks of texts in order, with the place of their first one."""
+    held, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield first, Chunk(held)
+            held, size, first = [], 0, k + 1
+    if held:
+        yield first, Chunk(held)
 
 
 def joined(spans: list[Span]) -> str:
@@ -191,32 +226,31 @@ SCAN = "doc_id long, kk long, n_email long, n_ip long, n_card long, n_phone long
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = Words()
     for b in batches:
         rows = []
         for doc, kk, text in zip(b.doc_id, b.kk, b.text, strict=True):
             base = base_spans(text)
-            seeds = [{"context": c, "instance": text[s:e]} for s, e, found in (Text(text, known, base).seeds() if base else ()) for c in found]
+            seeds = [{"context": c, "instance": x} for c, x in Chunk([text]).seeds(0, base)] if base else []
             rows.append((doc, kk, *[sum(k == n for k, _, _ in base) for n in range(4)], joined(base), seeds))
         out = pd.DataFrame(rows, columns=["doc_id", "kk", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
 
 
-def _left(patterns: set[str]) -> set[str]:
-    """The words right before the slots."""
-    return {c[: c.index(" _")].rsplit(" ", 1)[-1] for c in patterns}
+def _left(patterns: set[str]) -> np.ndarray:
+    """Hashes of the words right before the slots."""
+    return word_hash({c[: c.index(" _")].rsplit(" ", 1)[-1] for c in patterns})
 
 
 def _count(patterns: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, left = Words(), _left(patterns)
+        left = _left(patterns)
         for b in batches:
             every, filled = Counter(), Counter()
-            for text in map(lambda t: Text(t, known), b.text):
-                for i, met in text.slots(patterns, left):
+            for _, chunk in chunks(b.text):
+                for _, slot, met in chunk.slots(patterns, left):
                     every.update(met)
-                    if text.seed(i):
+                    if slot[2]:
                         filled.update(met)
             yield pd.DataFrame({"context": list(every), "n": list(every.values()), "seeds": [filled[c] for c in every]})
 
@@ -225,14 +259,16 @@ def _count(patterns: set[str]):
 
 def _take(patterns: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, left = Words(), _left(patterns)
+        left = _left(patterns)
         for b in batches:
-            rows = []
-            for doc, kk, t in zip(b.doc_id, b.kk, b.text, strict=True):
-                text = Text(t, known)
-                for i, met in text.slots(patterns, left):
-                    start, end, seed, _ = text.slot(i)
-                    rows += [(doc, kk, c, t[start:end], start, end) for c in met if not seed]
+            rows, doc, kk = [], b.doc_id.tolist(), b.kk.tolist()
+            for first, chunk in chunks(b.text):
+                for i, (start, end, seed, _), met in chunk.slots(patterns, left):
+                    if not seed:
+                        text = int(chunk.own[i])
+                        a = chunk.chars(text, start)
+                        instance = chunk.raw[start:end].decode()
+                        rows += [(doc[first + text], kk[first + text], c, instance, a, a + len(instance)) for c in met]
             out = pd.DataFrame(rows, columns=["doc_id", "kk", "context", "instance", "start", "end"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out

@@ -288,9 +288,13 @@ def _sets(shingle: int, bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            every = [sorted(set(shingles(t.encode().lower().split(), shingle))) for t in b.text]
-            grams = [np.array([xxhash.xxh64_intdigest(g) for g in x], np.uint64).view(np.int64) for x in every]
-            yield pd.DataFrame({"fp": [fingerprint(x, bits) for x in every], "grams": grams, "sketch": list(map(sketch, grams))})
+            rows = []
+            # a text at a time: the shingles of a whole batch are many times its size
+            for t in b.text:
+                every = sorted(set(shingles(t.encode().lower().split(), shingle)))
+                grams = np.array([xxhash.xxh64_intdigest(g) for g in every], np.uint64).view(np.int64)
+                rows.append((fingerprint(every, bits), grams, sketch(grams)))
+            yield pd.DataFrame(rows, columns=["fp", "grams", "sketch"])
 
     return run
 

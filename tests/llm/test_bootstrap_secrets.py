@@ -35,13 +35,18 @@ def test_bootstrap_precision_and_recall(spark):
     assert all(v not in masked[d] for d, v in got)
 
 
-def test_text_slots_and_seeds():
-    text = "Tel: +1 (377) 555-0271 ext, mail=a.b@c.de; done"
-    t = pii.Text(text, pii.Words())
-    assert [(text[s:e], c) for s, e, c in t.seeds()] == [("+1 (377) 555-0271", ["tel _", "tel _ ext"]), ("a.b@c.de", ["mail _", "ext mail _", "mail _ done"])]
-    patterns = {"tel _", "mail _ done"}
-    assert [(text[slice(*t.slot(i)[:2])], t.slot(i)[2], met) for i, met in t.slots(patterns, pii._left(patterns))] == [("+1 (377) 555-0271", True, ["tel _"]), ("a.b@c.de", True, ["mail _ done"])]
-    assert pii.Text("", pii.Words()).seeds() == [] and pii.Words()["(Ab-12)"] == "ab-00" and pii.Words()["!!"] == "!!"
+def test_slots_and_seeds():
+    texts = ["é Tel: +1 (377) 555-0271 ext, mail=a.b@c.de; done", "", "!! (Ab-12) ü done"]
+    chunk = pii.Chunk(texts)
+    assert list(chunk.seeds(0, pii.base_spans(texts[0]))) == [("tel _", "+1 (377) 555-0271"), ("é tel _", "+1 (377) 555-0271"), ("tel _ ext", "+1 (377) 555-0271"), ("mail _", "a.b@c.de"), ("ext mail _", "a.b@c.de"), ("mail _ done", "a.b@c.de")]
+    patterns = {"tel _", "mail _ done", "!! _"}
+    got = [(chunk.raw[a:b].decode(), seed, met, chunk.chars(int(chunk.own[i]), a)) for i, (a, b, seed, _), met in chunk.slots(patterns, pii._left(patterns))]
+    assert got == [("+1 (377) 555-0271", True, ["tel _"], 7), ("a.b@c.de", True, ["mail _ done"], 35), ("Ab-12", False, ["!! _"], 4)]
+    assert [chunk.norm(i) for i in np.flatnonzero(chunk.own == 2)] == ["!!", "ab-00", "ü", "done"]
+    long = "x" * 70_000 + " #" + "#" * 5000 + " y"
+    start, end, hashes = pii.cut(long.encode())
+    assert [long[a:b] for a, b in zip(start, end, strict=True)] == long.split() and hashes[2] == pii.word_hash(["y"])[0]
+    assert [first for first, _ in pii.chunks(["a " * 200_000, "b", "c"])] == [0, 1] and len(pii.cut(b"")[0]) == 0
 
 
 def plain_secrets(text):
