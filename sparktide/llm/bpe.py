@@ -33,7 +33,7 @@ LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 COMMON = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 OTHER = r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ffff]"
 #: Distinct pieces, and pairs of tokens, that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY, PAIRS = 200_000, 50_000
 #: Steps of a repair for each token of a piece, and a few more, before the piece is merged as a whole.
 PATIENCE = 8
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -239,7 +239,7 @@ class Vocabulary:
         """Ids as little-endian 32-bit integers."""
         if len(self.known) > MEMORY:
             self.known = {}
-        if len(self.settled) > MEMORY:
+        if len(self.settled) > PAIRS:
             self.settled = {}
         cut = []
         for text in texts:
@@ -256,6 +256,10 @@ class Vocabulary:
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
+    def forget(self) -> None:
+        """Gives back what was learnt; workers live longer than tasks, and other stages need their memory."""
+        self.known, self.settled = {}, {}
+
     def decode(self, ids: bytes) -> str:
         get = self.bytes.__getitem__
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -276,6 +280,7 @@ def _codes(path: str, decoded: bool):
                 ids = v.encode(part.text.tolist())
                 out = {"doc_id": part.doc_id.array, "ids": ids}
                 yield pd.DataFrame(out | {"decoded": [v.decode(x) for x in ids]} if decoded else out)
+        v.forget()
 
     return run
 
