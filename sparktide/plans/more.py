@@ -159,10 +159,10 @@ def segment(spark, d):
 w AS (SELECT *, lag(d) OVER o AS b, abs(lead(d) OVER o - d) AS wp, abs(lag(d) OVER o - lag(d, 2) OVER o) AS wm, lead(y) OVER o AS y1, lead(y, 2) OVER o AS y2, lag(y) OVER o AS z1, lag(y, 2) OVER o AS z2 FROM d WINDOW o AS (PARTITION BY event_type ORDER BY i)),
 m AS (SELECT *, CASE WHEN i = 1 THEN (-3 * y + 4 * y1 - y2) / 2 WHEN i = n THEN (3 * y - 4 * z1 + z2) / 2 WHEN i IN (2, n - 1) THEN (y1 - z1) / 2 ELSE (wp * b + wm * d) / (wp + wm) END AS m FROM w),
 h AS (SELECT event_type, i, n, y, (y + lead(y) OVER o) / 2 + (m - lead(m) OVER o) / 8 AS half FROM m WINDOW o AS (PARTITION BY event_type ORDER BY i))
-SELECT event_type, {S} + (i - 1) * {DAY} AS time, round(y, 4) AS value FROM h UNION ALL SELECT event_type, {S} + (i - 1) * {DAY} + {DAY // 2}, round(half, 4) FROM h WHERE i < n""")
+SELECT event_type, {S} + (i - 1) * {DAY} AS time, round(y * 0.7310585786, 4) AS value FROM h UNION ALL SELECT event_type, {S} + (i - 1) * {DAY} + {DAY // 2}, round(half * 0.7310585786, 4) FROM h WHERE i < n""")
 def spline(spark, d):
-    """All points of a regular series, and the values half way between them."""
-    return rounded(N.apply(daily(spark, d), N.spline, "value", T, points=59), "value")
+    """All points of a regular series, and the values half way between them; scaled as those of ``acf_events``."""
+    return rounded(N.apply(daily(spark, d), N.spline, "value", T, points=59).withColumn("value", F.col("value") * 0.7310585786), "value")
 
 
 @query(f"{DN}, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.i - b.i AS k, sum(a.value * b.value) AS t FROM (SELECT * FROM s WHERE event_type = 'click') a, (SELECT * FROM s WHERE event_type = 'purchase') b GROUP BY 1) SELECT 'all' AS device, n + k AS time, round(t / (n - abs(k)), 4) AS value FROM p, n WHERE event_type = 'click'")
