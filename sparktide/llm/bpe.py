@@ -33,7 +33,7 @@ LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 COMMON = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 OTHER = r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ffff]"
 #: Distinct pieces, and pairs of tokens, that a task remembers before it starts anew.
-MEMORY, PAIRS = 200_000, 50_000
+MEMORY, PAIRS = 400_000, 400_000
 #: Steps of a repair for each token of a piece, and a few more, before the piece is merged as a whole.
 PATIENCE = 8
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -85,7 +85,7 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern, self.common, self.other = regex.compile(PATTERN), re.compile(COMMON), re.compile(OTHER)
         # what the bytes of two neighbours encode to; None if that is the two themselves
-        self.settled: dict[tuple[int, int], list[int] | None] = {}
+        self.settled: dict[int, list[int] | None] = {}
         self.known: dict[str, bytes] = {}
         self.failed = 0
 
@@ -197,12 +197,12 @@ class Vocabulary:
         while rest:
             token = rest.pop()
             if out:
-                pair = (out[-1], token)
-                if pair in settled:
-                    made = settled[pair]
-                else:
-                    made = self.merge(self.bytes[pair[0]] + self.bytes[pair[1]])
-                    made = settled[pair] = None if len(made) == 2 and made[0] == pair[0] and made[1] == pair[1] else made
+                last = out[-1]
+                pair = last << 32 | token
+                made = settled.get(pair, ())
+                if made == ():
+                    made = self.merge(self.bytes[last] + self.bytes[token])
+                    made = settled[pair] = None if made == [last, token] else made
                 if made is not None:
                     out.pop()
                     rest += made[::-1]
@@ -227,7 +227,12 @@ class Vocabulary:
         inside = np.flatnonzero(own[1:] == own[:-1])
         if len(inside):
             pairs, place = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
-            fails[own[inside[~self.apart(pairs >> 32, pairs & 0xFFFFFFFF)[place]]]] = True
+            fine = self.apart(pairs >> 32, pairs & 0xFFFFFFFF)
+            fails[own[inside[~fine[place]]]] = True
+            # the repairs needn't ask again for pairs that stay apart
+            asked = np.zeros(len(pairs), bool)
+            asked[place[fails[own[inside]]]] = True
+            self.settled.update(dict.fromkeys(pairs[fine & asked].tolist()))
         self.failed += int((fails | unsound).sum())
         for k in np.flatnonzero(fails | unsound).tolist():
             proposed[k] = (None if unsound[k] else self.repair(proposed[k])) or self.merge(raw[k])
