@@ -367,9 +367,19 @@ def conv(t, a, b):
 
 
 def deconv(t, a, b, result="quotient"):
-    """Division of polynomials, highest power last."""
-    q, r = np.polydiv(np.trim_zeros(a, "b")[::-1], np.trim_zeros(b, "b")[::-1])
-    return _index((q if result.startswith("quoti") else r)[::-1])
+    """Division of polynomials, highest power last; zeros at the end of ``a`` are coefficients like any other."""
+    a, b = a[np.isfinite(a)], np.trim_zeros(b[np.isfinite(b)], "b")
+    if not len(b):
+        raise ZeroDivisionError("deconv by zero")
+    quotient, m = result.startswith("quoti"), len(b) - 1
+    if m >= len(a):
+        return _index(np.zeros(1) if quotient else a)
+    q, rest = np.zeros(len(a) - m), a.astype(float)
+    for i in range(len(q) - 1, -1, -1):
+        q[i] = rest[i + m] / b[m]
+        rest[i + m] = 0
+        rest[i : i + m] -= q[i] * b[:m]
+    return _index(q if quotient else rest)
 
 
 #: Scaling coefficients of orthogonal wavelets (fixed values).
