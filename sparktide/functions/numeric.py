@@ -308,13 +308,28 @@ def outlier(t, v, k=3, r=5.0, w=1000, s=500):
     """Points with fewer than k others within r, in windows of w rows every s; the last full window needs a row after it."""
     found = set()
     for a in range(0, len(v) - w, s):
-        part = np.sort(v[a : a + w])
-        n = np.searchsorted(part, v[a : a + w] + r, "right") - np.searchsorted(part, v[a : a + w] - r, "left") - 1
+        part = v[a : a + w]
+        order = np.sort(part[~np.isnan(part)])
+        # each is near from above or below, or both
+        n = _up_to(order, part, r) + _up_to(-order[::-1], -part, r) - len(order) - 1
         found |= set((a + np.flatnonzero(n < k)).tolist())
     at = sorted(found)
     return t[at], v[at]
 
 
+def _up_to(order, x, r):
+    """For each x how many of ``order``, which ascends, have ``o - x <= r``; the difference decides, for ``x + r`` rounds otherwise."""
+    at, ends = np.searchsorted(order, x + r, "right"), np.concatenate([[-np.inf], order, [np.inf]])
+    wrong = np.flatnonzero((ends[at] - x > r) | (ends[at + 1] - x <= r))
+    low, high = np.zeros(len(wrong), np.int64), np.full(len(wrong), len(order))
+    while (low < high).any():
+        mid = (low + high) // 2
+        near = (low < high) & (ends[mid + 1] - x[wrong] <= r)
+        low, high = np.where(near, mid + 1, low), np.where(near, high, mid)
+    at[wrong] = low
+    return at
+
+
 # matching
 
 

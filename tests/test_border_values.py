@@ -27,3 +27,15 @@ def test_deconv_keeps_zeros_at_the_end(spark, tmp_path):
     assert N.deconv(None, a[:1], b)[1].tolist() == [0.0] and N.deconv(None, a[:1], b, "remainder")[1].tolist() == [4.0]
     with pytest.raises(ZeroDivisionError):
         N.deconv(None, a, np.zeros(2))
+
+
+def test_outlier_counts_points_at_the_distance(spark, tmp_path):
+    # 5.69 - 0.69 is 5 at most, though 0.69 + 5 is less than 5.69, and 5.03 - 0.03, though 5.03 - 5 is more; 8.05 - 3.05 is more than 5, though 3.05 + 5 is 8.05
+    far = [1000.0 * k for k in range(1, 20)]
+    near = [[0.69, 5.69, 5.69, 5.69], [5.03, 0.03, 0.03, 0.03], [3.05, 8.05, 8.05, 8.05]]
+    assert against_sql(spark, tmp_path, "outlier", *[(x + far)[:21] for x in near]) == []
+    rng = np.random.default_rng(0)
+    for w in (1, 2, 30, 200):
+        v = rng.integers(0, 3000, 200 + w) / 100
+        at = {a + i for a in range(0, len(v) - w, 7) for i in range(w) if (np.abs(v[a : a + w] - v[a + i]) <= 5).sum() - 1 < w // 3}
+        assert N.outlier(np.arange(len(v)), v, k=w // 3, r=5.0, w=w, s=7)[0].tolist() == sorted(at)
