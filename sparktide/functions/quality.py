@@ -128,7 +128,9 @@ def two_sided_filter(t, v, length=5, threshold=0.4):
     sides = []
     for ahead in (False, True):
         total = np.zeros(len(v))
-        for k in range(1, min(length, len(v) - 1) + 1):
+        reach = range(1, min(length, len(v) - 1) + 1)
+        # from the earliest to the latest, as sums depend on their order
+        for k in reach if ahead else reversed(reach):
             near = t[k:] - t[:-k] <= length * 1_000_000
             if ahead:
                 total[:-k] += np.where(near, v[k:], 0)

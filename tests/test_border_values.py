@@ -39,3 +39,9 @@ def test_outlier_counts_points_at_the_distance(spark, tmp_path):
         v = rng.integers(0, 3000, 200 + w) / 100
         at = {a + i for a in range(0, len(v) - w, 7) for i in range(w) if (np.abs(v[a : a + w] - v[a + i]) <= 5).sum() - 1 < w // 3}
         assert N.outlier(np.arange(len(v)), v, k=w // 3, r=5.0, w=w, s=7)[0].tolist() == sorted(at)
+
+
+def test_two_sided_filter_sums_in_the_order_of_time(spark, tmp_path):
+    # the five values before the sixth have a mean 0.4 of it away, more or less by the last bit
+    before = [[62.9, 2.24, 60.97, 79.47, 82.22, 96.6, 67.84, 70.35, 26.14, 1.01, 47.89], [11.21, 2.39, 37.35, 7.12, 123.2, 61.09, 3.33, 39.7, 17.83, 63.5, 6.16]]
+    assert against_sql(spark, tmp_path, "two_sided_filter", *before) == []
