@@ -59,7 +59,9 @@ def two_sided_filter(spark, d):
 
 @query(f"{SEC} SELECT user_id, i * 1000000 AS time, (i BETWEEN 21 AND 45)::INT::DOUBLE AS value FROM s")
 def missing_stretches(spark, d):
-    line = F.when(F.col("i").between(21, 45), F.col("i").cast("double")).otherwise(F.col("value"))
+    """The line leaves the range of the user's values: a value that continues it by chance would belong to the stretch."""
+    steep = F.col("i") * (F.max(F.abs("value")).over(Window.partitionBy(*U)) + 1)
+    line = F.when(F.col("i").between(21, 45), steep).otherwise(F.col("value"))
     return N.apply(seconds(spark, d).withColumn("x", line), Q.missing_stretches, "x", U)
 
 

@@ -45,3 +45,11 @@ def test_two_sided_filter_sums_in_the_order_of_time(spark, tmp_path):
     # the five values before the sixth have a mean 0.4 of it away, more or less by the last bit
     before = [[62.9, 2.24, 60.97, 79.47, 82.22, 96.6, 67.84, 70.35, 26.14, 1.01, 47.89], [11.21, 2.39, 37.35, 7.12, 123.2, 61.09, 3.33, 39.7, 17.83, 63.5, 6.16]]
     assert against_sql(spark, tmp_path, "two_sided_filter", *before) == []
+
+
+def test_missing_stretches_end_where_the_line_does(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    noise = [rng.integers(0, 10_000, 60) / 100 for _ in range(3)]
+    # values that continue the line i, before and behind it
+    noise[0][45], noise[1][19], noise[2][18:20], noise[2][45:47] = 46.2, 20.0, [19, 20], [46, 47]
+    assert against_sql(spark, tmp_path, "missing_stretches", *[x.tolist() for x in noise]) == []
