@@ -12,7 +12,8 @@ n-grams, so collisions do not get worse as the corpus grows, and the table is ne
 3.  Each batch counts its texts anew, puts in the answers and scores its documents.
 
 A common word is one entry of each batch's request, however often it occurs.  The threshold
-comes from labelled documents whose n-grams are not counted as trusted (``fold``).
+comes from all labelled documents of a fold whose n-grams are not counted as trusted (``fold``):
+ranges of scores name their best cuts, and only these meet in the driver.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ GRAM_BYTES, BATCH_BYTES, SLICE_BYTES = 3, 8 << 20, 32 << 20
 LEVEL = 6
 #: Documents whose mean log ratio is below this are rejected where no labels tell better.
 THRESHOLD = -1.0
-#: Labelled documents of each class that the threshold is chosen by.
-SAMPLE = 2000
 #: Trusted ids are broadcast only when there are at most so many.
 BROADCAST_ROWS = 5_000_000
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -241,16 +240,60 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The middle of the widest gap that splits the two classes with the least sum of error rates."""
-    if not len(good) or not len(bad):
+#: What a range of scores tells: ``gap`` is less than zero, or zero where there is no cut.
+RANGE = "first double, last double, good long, bad long, error long, gap double, cut double"
+
+
+def _cut(error: int, below: float, above: float) -> tuple[int, float, float]:
+    """Errors, the gap with a minus, and the cut in it: the least is the best."""
+    middle = (below + above) / 2
+    return int(error), below - above, middle if middle > below else above
+
+
+def _cuts(n_good: int, n_bad: int):
+    """Of ascending scores, the ends, the documents of each class and the best cut between two scores, by the errors of the range alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last, good, bad, best = None, None, 0, 0, None
+        for b in batches:
+            if not len(b):
+                continue
+            at, goods, bads = b.score.to_numpy(), good + np.cumsum(b.good.to_numpy()), bad + np.cumsum(b.bad.to_numpy())
+            if first is None:
+                first = at[0]
+            else:
+                at, goods, bads = np.append(last, at), np.append(good, goods), np.append(bad, bads)
+            last, good, bad = at[-1], int(goods[-1]), int(bads[-1])
+            if len(at) > 1:
+                errors, gaps = (goods * n_bad - bads * n_good)[:-1], np.diff(at)
+                least = np.flatnonzero(errors == errors.min())
+                k = least[np.argmax(gaps[least])]
+                found = _cut(errors[k], float(at[k]), float(at[k + 1]))
+                best = min(best or found, found)
+        if first is not None:
+            error, gap, cut = best or (0, 0.0, 0.0)
+            yield pd.DataFrame([(first, last, good, bad, error, gap, cut)], columns=["first", "last", "good", "bad", "error", "gap", "cut"])
+
+    return run
+
+
+def best_threshold(rated: DataFrame) -> float:
+    """The middle of the widest gap that splits the two classes with the least sum of error rates, by all rows of (score, quality)."""
+    count = lambda c: F.count_if(F.col("quality") == c)
+    at = rated.groupBy("score").agg(count(1).alias("good"), count(0).alias("bad")).where("good + bad > 0")
+    n_good, n_bad = at.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("good", "bad"))).first()
+    if not n_good or not n_bad:
         return THRESHOLD
-    at = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[at[0]], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-    errors = np.searchsorted(np.sort(good), cuts) / len(good) + 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    gaps = np.concatenate([[0], np.diff(at), [0]])
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    return float(cuts[best[np.argmax(gaps[best])]])
+    ranges = sorted(map_frames(at.repartitionByRange("score").sortWithinPartitions("score"), _cuts(n_good, n_bad), RANGE).collect())
+    # errors are in whole numbers: good documents below a cut times n_bad, less bad ones below it times n_good
+    best, error = (0, 0.0, ranges[0].first), 0
+    for k, r in enumerate(ranges):
+        if r.gap:
+            best = min(best, (error + r.error, r.gap, r.cut))
+        error += r.good * n_bad - r.bad * n_good
+        if k + 1 < len(ranges):
+            best = min(best, _cut(error, r.last, ranges[k + 1].first))
+    return best[2]
 
 
 def labelled_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -259,8 +302,7 @@ def labelled_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = scores(docs, known.where((F.col("quality") == 1) & (fold(F.col("doc_id")) < 3)))
     tuning = known.where(fold(F.col("doc_id")) == 3)
     passed = scored.where(~F.col("base_failed")).groupBy("doc_id").agg(F.min("score").alias("score")).join(tuning, "doc_id")
-    found = [passed.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("score").collect() for c in (1, 0)]
-    return verdicts(scored, best_threshold(*(np.array([r.score for r in x]) for x in found)))
+    return verdicts(scored, best_threshold(passed))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
