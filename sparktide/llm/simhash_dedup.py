@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, count
+from itertools import combinations, count, product
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ SEED = 42
 BITS, SHINGLE, RADIUS = 64, 3, 3
 #: Buckets above so many fingerprints are cut again by the four 16-bit quarters of the fingerprint.
 BUCKET = 20_000
+#: Most rows with a sketch in one frame: a batch's rows of one segment are some 30 MB.
+FRAME = 8192
 
 
 PRINT = "doc_id long, kk long, fp binary, size long"
@@ -96,12 +98,14 @@ def _keys(bits: int, per_key: int, count: int, ratio: float | None):
                     take = np.flatnonzero((np.arange(6) < many[row][:, None]).ravel())
                     key = (np.repeat(key, 6) << 12 | index[row].ravel())[take]
                     row = np.repeat(row, 6)[take]
-                for up in (0,) if ratio is None else (0, 1):
-                    full = (key | number << 12 * per_key) << 8 | (level[row] + up)
-                    out = {"key": full, "fp": b.fp.to_numpy()[row]}
+                step = FRAME if "sketch" in b else max(1, len(row))
+                for up, at in product((0,) if ratio is None else (0, 1), range(0, len(row), step)):
+                    part = row[at : at + step]
+                    full = (key[at : at + step] | number << 12 * per_key) << 8 | (level[part] + up)
+                    out = {"key": full, "fp": b.fp.to_numpy()[part]}
                     if ratio is not None:
-                        out["up"] = np.full(len(row), up, np.int8)
-                    yield pd.DataFrame(out | {c: b[c].to_numpy()[row] for c in ("root", "sketch") if c in b})
+                        out["up"] = np.full(len(part), up, np.int8)
+                    yield pd.DataFrame(out | {c: b[c].to_numpy()[part] for c in ("root", "sketch") if c in b})
 
     return run
 
@@ -432,7 +436,9 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
-    prints = ws.keep(map_frames(keyed(docs), _prints(WORDS_PER_SHINGLE, NEAR_BITS, True), PRINT), "prints")
+    # without ``rebalance`` each task of a long step writes a file of a few rows, and for each
+    # file on a local disk an executor starts processes that set its permissions
+    prints = ws.keep(map_frames(keyed(docs), _prints(WORDS_PER_SHINGLE, NEAR_BITS, True), PRINT).hint("rebalance"), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("size").alias("size")), "classes")
 
     def meet(rows: DataFrame, nearest: int | None) -> DataFrame:
@@ -440,7 +446,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         dealt = rows.mapInPandas(_keys(NEAR_BITS, 1, SEGMENTS, 100 / SIMILARITY), "key long, fp binary, up byte, root long" + more)
         return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_near(NEAR_BITS, NEAR_RADIUS, nearest), "a binary, b binary")
 
-    first = ws.keep(meet(classes.select("fp", "size", F.xxhash64("fp").alias("root")), NEAREST), "first")
+    first = ws.keep(meet(classes.select("fp", "size", F.xxhash64("fp").alias("root")), NEAREST).hint("rebalance"), "first")
     nodes = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     members = ws.keep(classes.join(nodes, "fp"), "members")
     plain, lows = documents(docs), members.select("low").distinct()
@@ -453,14 +459,13 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         both, every = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         return pairs.join(one, "a").join(two, "b").where(both * 100 >= (every - both) * SIMILARITY).select("a", "b")
 
-    linked = ws.keep(alike(first), "linked")
+    linked = ws.keep(alike(first).hint("rebalance"), "linked")
     roots = stars(Workspace(spark, "near"), linked)
     longer = F.when(F.col("size") >= SHORT, F.col("sketch")).alias("sketch")
     grouped = members.join(roots, members.fp == roots.node, "left").join(sets.select("fp", "sketch"), "fp").select("fp", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root"), longer)
     second = ws.keep(meet(grouped, None).join(first, ["a", "b"], "left_anti"), "second")
-    every = ws.keep(linked.unionByName(alike(second)), "every")
-    roots = stars(Workspace(spark, "near"), every)
-    ws.drop("first", "members", "sets", "linked", "second", "every")
+    roots = stars(Workspace(spark, "near"), linked.unionByName(alike(second)))
+    ws.drop("first", "members", "sets", "linked", "second")
     return prints, _named(classes, roots)
 
 

@@ -1,11 +1,13 @@
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 from corpus import corpus, frame, same
 
 from sparktide.llm import golay, simhash_dedup
-from sparktide.llm.simhash_dedup import _distances, forest, near_dedup, simhash_components
+from sparktide.llm.common import Workspace
+from sparktide.llm.simhash_dedup import FRAME, LONG_BITS, NEAR_BITS, SEGMENTS, _distances, _keys, forest, near_dedup, simhash_components
 
 
 def print_of(text):
@@ -119,6 +121,34 @@ def test_near_dedup_large_group_of_near_copies(spark):
     assert [r.doc_id for r in near_dedup(frame(spark, rows)).collect()] == [0]
 
 
+def test_keys_with_sketches_come_in_small_frames():
+    rng, n = np.random.default_rng(7), 3000
+    prints = [rng.bytes(NEAR_BITS // 8) for _ in range(n)]
+    rows = pd.DataFrame({"fp": prints, "size": rng.integers(1, 5000, n), "root": np.arange(n)})
+    keys = lambda b: list(_keys(NEAR_BITS, 1, SEGMENTS, 1.25)(iter([b])))
+    plain, cut = keys(rows), keys(rows.assign(sketch=[rng.bytes(LONG_BITS // 8) for _ in range(n)]))
+    assert max(map(len, plain)) > FRAME >= max(map(len, cut))
+    plain, cut = (pd.concat(x)[["key", "fp", "up", "root"]] for x in (plain, cut))
+    assert sorted(plain.itertuples(index=False)) == sorted(cut.itertuples(index=False))
+
+
+def test_near_dedup_writes_small_tables_as_few_files(spark, monkeypatch):
+    """An executor starts processes for each file on a local disk."""
+    files, keep = {}, Workspace.keep
+
+    def counted(self, df, name):
+        got = keep(self, df, name)
+        files[name] = len(got.inputFiles())
+        return got
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    rows = near_prints()
+    kept = [r.doc_id for r in near_dedup(frame(spark, rows).repartition(8)).collect()]
+    assert len(kept) == len(set(kept)) < len(rows) / 2
+    assert "every" not in files
+    assert max(files[x] for x in ("prints", "first", "linked")) == 1
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(none).count() == 0
